@@ -55,3 +55,9 @@ def word_count(text: Column) -> Column:
 def null_safe(c: Column) -> Column:
     """A key that is never null and keeps null apart from every value."""
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), c.cast("string")))
+
+
+def arrow_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """``df``, to be handed to Python in batches small enough for very long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .hilbert import op6_hilbert_shards
 from .mixing import OP2_SQL, op2_mix_sources
+from .packing import op3_pack_documents
+from .tokencount import op10_count_tokens
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op6_hilbert_shards)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_pack_documents, op6_hilbert_shards, op10_count_tokens)}
 ORACLE_SQL = {"op2_mix_sources": OP2_SQL}
