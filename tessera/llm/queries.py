@@ -5,7 +5,21 @@ from __future__ import annotations
 from .hilbert import op6_hilbert_shards
 from .mixing import OP2_SQL, op2_mix_sources
 from .packing import op3_pack_documents
+from .pii import op7_find_pii
+from .qda import op8_quality_classifier
 from .tokencount import op10_count_tokens
+from .topk import OP5_SQL, op5_topk_search
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_pack_documents, op6_hilbert_shards, op10_count_tokens)}
-ORACLE_SQL = {"op2_mix_sources": OP2_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_mix_sources,
+        op3_pack_documents,
+        op5_topk_search,
+        op6_hilbert_shards,
+        op7_find_pii,
+        op8_quality_classifier,
+        op10_count_tokens,
+    )
+}
+ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op5_topk_search": OP5_SQL}
