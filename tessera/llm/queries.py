@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .hilbert import op6_hilbert_shards
 from .mixing import OP2_SQL, op2_mix_sources
+from .outliers import op4_robust_outliers
 from .packing import op3_pack_documents
 from .pii import op7_find_pii
 from .qda import op8_quality_classifier
@@ -15,6 +16,7 @@ QUERIES = {
     for f in (
         op2_mix_sources,
         op3_pack_documents,
+        op4_robust_outliers,
         op5_topk_search,
         op6_hilbert_shards,
         op7_find_pii,
