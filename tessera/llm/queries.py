@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .hilbert import op6_hilbert_shards
+from .jaccard import OP9_SQL, op9_jaccard_join
 from .mixing import OP2_SQL, op2_mix_sources
 from .outliers import op4_robust_outliers
 from .packing import op3_pack_documents
@@ -21,7 +22,8 @@ QUERIES = {
         op6_hilbert_shards,
         op7_find_pii,
         op8_quality_classifier,
+        op9_jaccard_join,
         op10_count_tokens,
     )
 }
-ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op5_topk_search": OP5_SQL}
+ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op5_topk_search": OP5_SQL, "op9_jaccard_join": OP9_SQL}
