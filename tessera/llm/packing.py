@@ -34,26 +34,70 @@ from .common import Scratch, arrow_batches, table
 CAPACITY = 4096
 END_ID = 1
 BUCKET_ROWS = 8192
-MAX_ITEMS = 400_000
+KEPT_ITEMS, RECENT_ITEMS, AT_ONCE = 300_000, 500_000, 48
+ENDS = (".", ",")
 
 
 class Encoder(dict):
     """Ids of space-free items as little-endian bytes, remembered. White space never reaches a token of this tokenizer, so a text's ids
-    are those of its items in turn."""
+    are those of its items in turn; nor do letters and a stop or comma share a token, so an item's ids are those of its stem and its end.
+    The first stems met, the frequent ones, stay; later ones are forgotten when they are too many."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer, self.recent = Tokenizer.from_file(file), {}
+        self.ends = {c: self.encoded(c) for c in ".,"}
 
-    def __missing__(self, item: str) -> bytes:
-        if len(self) >= MAX_ITEMS:
-            self.clear()
-        found = self[item] = np.array(self.tokenizer.encode(item, add_special_tokens=False).ids, "<u4").tobytes() if item else b""
-        return found
+    def encoded(self, item: str) -> bytes:
+        return np.array(self.tokenizer.encode(item, add_special_tokens=False).ids, "<u4").tobytes() if item else b""
+
+    @staticmethod
+    def stem(item: str) -> str:
+        """The lower-case item without a stop or comma at its end, where that is sure to keep the ids; else the item."""
+        body = item[:-1] if item[-1:] in ENDS else item
+        if not body.lower().isalnum():
+            return item
+        return body.lower() if body.isascii() else body
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def __missing__(self, item: str) -> bytes:
+        stem = self.stem(item)
+        if stem == item:
+            found = self.recent.get(item)
+            if found is None:
+                found = self.encoded(item)
+                self.remember(item, found)
+            return found
+        return self[stem] + (self.ends[item[-1]] if item[-1] in ENDS else b"")
+
+    def remember(self, stem: str, ids: bytes) -> None:
+        if len(self) < KEPT_ITEMS:
+            self[stem] = ids
+        else:
+            if len(self.recent) >= RECENT_ITEMS:
+                self.recent.clear()
+            self.recent[stem] = ids
+
+    def learn(self, items: set[str]) -> None:
+        """Encodes the plain stems not known yet, a few dozen a call, told apart by the places their tokens come from."""
+        stems = {self.stem(x) for x in items}
+        new = [x for x in stems.difference(self.keys()).difference(self.recent) if x.isalnum()]
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, starts = np.array(found.ids, "<u4"), np.array([a for a, _ in found.offsets], np.int64)
+            borders = np.cumsum([len(x) + 1 for x in part])
+            cuts = np.searchsorted(starts, borders).tolist()
+            raw, last = ids.tobytes(), 0
+            for stem, cut in zip(part, cuts, strict=True):
+                self.remember(stem, raw[4 * last : 4 * cut])
+                last = cut
+
+    def ids_of(self, texts: list[str]) -> Iterator[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*split).difference(self.keys()))
+        for items in split:
+            yield b"".join(map(self.__getitem__, items))
 
 
 @lru_cache(maxsize=2)
@@ -66,11 +110,11 @@ def cut_pieces(docs: DataFrame, file: str, capacity: int = CAPACITY) -> DataFram
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end, step = encoder(file).ids, np.array([END_ID], "<u4").tobytes(), 4 * capacity
+        ids_of, end, step = encoder(file).ids_of, np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows, out = [], [[], [], [], []]
-            for i, text in enumerate(b.column("text").to_pylist()):
-                all_ids = ids(text or "") + end
+            for i, text_ids in enumerate(ids_of([t or "" for t in b.column("text").to_pylist()])):
+                all_ids = text_ids + end
                 for piece, at in enumerate(range(0, len(all_ids), step)):
                     part = all_ids[at : at + step]
                     rows.append(i)
