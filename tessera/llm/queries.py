@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op1_chat_repair
 from .hilbert import op6_hilbert_shards
 from .jaccard import OP9_SQL, op9_jaccard_join
 from .mixing import OP2_SQL, op2_mix_sources
@@ -15,6 +16,7 @@ from .topk import OP5_SQL, op5_topk_search
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_chat_repair,
         op2_mix_sources,
         op3_pack_documents,
         op4_robust_outliers,
