@@ -12,7 +12,7 @@ hash until its words are used up; the document at the border gives only the word
 Hot sources: the running sum is cut into hash buckets of some thousand documents, each a window of its own,
 so a source that holds a third of the rows spreads over all tasks.
 
-Edge cases: null text or text without words has size 0 and is taken 0 times; null source is a source of its
+Edge cases: null text or text without words has size 0, adds no words, and is repeated in whole epochs only; null source is a source of its
 own, ordered last; null doc_id takes part and ties with other nulls; repeated rows are separate documents
 (which of two equal rows is taken is not distinguishable); an empty table gives no rows; extra columns are
 carried by ``repeat_rows`` and ignored by ``plan_mix``.

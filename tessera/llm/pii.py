@@ -123,8 +123,8 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
         elif kind == "url":
             if extra["url"] and start < extra["url"][-1][1]:
                 continue
-            scheme, rest = SCHEME_START.search(text[max(0, start - 16) : start]), URL_REST.match(text, end)
-            if scheme and rest:
+            scheme = SCHEME_START.search(text[max(0, start - 16) : start])
+            if scheme and (rest := URL_REST.match(text, end)):
                 extra["url"].append((start - len(scheme.group()), rest.end()))
         elif kind == "written":
             left, right = WRITTEN_LEFT.search(text[max(0, start - 66) : start]), WRITTEN_RIGHT.match(text, end)
