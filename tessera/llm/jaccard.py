@@ -10,12 +10,12 @@ all pairs of a group:
     their whole sets are formed.  The same test is repeated on whole sets.
 3.  Regions: a candidate belongs to the region of each of its rarest shingles, as many as no partner can miss
     (prefix bound), so partners meet in a region.  Each region chooses pivots by a seeded hash; distances to
-    the pivots are computed exactly, every member belongs to its nearest pivot's Voronoi cell, and links to
-    pivots join components.  Then the region is joined again, recursively, without what is settled: pivots
-    have met all members; members of one component need not meet; the members of a cell's core (within EPS
-    of its pivot) leave if no foreign member lies in the window that the triangle inequality allows (within
-    2 EPS of the pivot).  Regions with one component left are done.
-4.  When few pairs are left, they are compared, again only those that the triangle inequality allows.
+    the pivots are computed exactly, and every member belongs to its nearest pivot's Voronoi cell.  Then the
+    region is joined again without what is settled: pivots have met all members; the members of a cell's core
+    (within EPS of its pivot) leave if no foreign member lies in the window that the triangle inequality allows
+    (within 2 EPS of the pivot); a region whose members are known to be connected is done.
+4.  What is left, dense regions of documents near the threshold, is compared exactly in blocks of bounded
+    size, two blocks once at most, however many regions they share; a block pair gives a spanning forest.
 5.  Components of the links give every document's class.
 
 Only components matter, so a group of thousands of near copies costs its distances to a few pivots a round.
@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,7 +42,8 @@ from .components import components
 WORDS = 4
 PERCENT = 85
 PIVOTS = 4
-ROUNDS = 8
+ROUNDS = 1
+BLOCK, ROWS_A_TASK, COLUMNS = 512, 2000, 4096
 MAX_WORDS_KNOWN = 500_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -150,50 +152,126 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "i", (F.size("sa") + F.size("sb") - F.col("i")).cast("long").alias("u"))
 
 
+def known_labels(links: DataFrame) -> DataFrame:
+    """node, label: a node that is connected to it; the least neighbour's least neighbour. Nodes without links are left out."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a"))
+    least = both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label"))
+    jump = least.select(F.col("node").alias("label"), F.col("label").alias("__l"))
+    return least.join(jump, "label").select("node", F.col("__l").alias("label"))
+
+
+def meet_pivots(rows: DataFrame, sets: DataFrame, percent: int, step: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Joins every region with its pivots: (links found, rows that must still meet, with their labels)."""
+    eps = (100 - percent) / 100
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(step)), "node")
+    ranked = scratch.keep(rows.withColumn("rn", F.row_number().over(order)), f"ranked{step}")
+    pivots = ranked.filter(F.col("rn") <= PIVOTS).select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("rn").alias("prn"))
+    # sizes so unlike that the distance is over 2 EPS settle the pair: it is outside the window
+    met = ranked.join(pivots, "key").filter((F.col("rn") > F.col("prn")) & (F.least("n", "pn") >= (1 - 2 * eps) * F.greatest("n", "pn")))
+    met = met.select("key", "node", "p", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+    tested = scratch.keep(distances(met.select("a", "b").distinct(), sets), f"tested{step}")
+    links = tested.filter(f"100 * i >= {percent} * u").select("a", "b")
+    label = scratch.keep(known_labels(links), f"label{step}")
+    rest = ranked.filter(F.col("rn") > PIVOTS).join(label, "node", "left").select("node", "n", "key", F.coalesce("label", "node").alias("label"))
+    near = met.join(tested, ["a", "b"]).select("key", "node", "p", (1 - F.col("i") / F.col("u")).alias("d"))
+    cell = near.groupBy("key", "node").agg(F.min(F.struct("d", "p")).alias("cell"))
+    rest = rest.join(cell.select("key", "node", F.col("cell.p").alias("p"), F.col("cell.d").alias("d")), ["key", "node"], "left")
+    # the window of a pivot's cell in a region: members not known to be connected within 2 EPS of the pivot
+    of_pivot = label.select(F.col("node").alias("p"), F.col("label").alias("of"))
+    window = near.filter(F.col("d") <= 2 * eps + 1e-9).join(rest.select("key", "node", "label"), ["key", "node"]).join(of_pivot, "p", "left")
+    window = window.filter(F.col("label") != F.coalesce("of", "p")).select("key", "p", F.lit(True).alias("foreign")).distinct()
+    rest = rest.join(window, ["key", "p"], "left").filter(F.col("d").isNull() | (F.col("d") > eps) | F.col("foreign"))
+    key = Window.partitionBy("key")
+    rest = rest.withColumns({"lo": F.min("label").over(key), "hi": F.max("label").over(key)}).filter("lo < hi")
+    return links, scratch.keep(rest.select("node", "n", "key", "label"), f"rest{step}")
+
+
+def linked_in_blocks(x: list[np.ndarray], y: list[np.ndarray] | None, apart: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Places (i, j) of sets of ``x`` and ``y`` (None: of ``x`` and ``x``) that link and are ``apart``, as few as connect what all connect.
+
+    Intersections are a product of 0/1 matrices over the shingles that two sets share at least, some thousand
+    columns at a time.
+    """
+    sets = x + (y or [])
+    sizes = np.array([len(v) for v in sets])
+    values, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = seen > 1
+    number = np.cumsum(shared) - 1
+    fits = shared[column]
+    owner, column = owner[fits], number[column[fits]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    rows, cols = slice(0, len(x)), slice(len(x), None) if y is not None else slice(0, len(x))
+    both = np.zeros((len(x), len(y) if y is not None else len(x)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[owner[lo:hi], column[lo:hi] - at] = 1
+        both += m[rows] @ m[cols].T
+    union = sizes[rows][:, None] + sizes[cols][None, :] - both
+    hit = (100 * both.astype(np.int64) >= percent * union.astype(np.int64)) & apart
+    if y is None:
+        hit = np.triu(hit, 1)
+    top = list(range(len(sets)))
+
+    def root(v: int) -> int:
+        while top[v] != v:
+            top[v] = top[top[v]]
+            v = top[v]
+        return v
+
+    out, shift = [], len(x) if y is not None else 0
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        r, t = root(int(i)), root(int(j) + shift)
+        if r != t:
+            top[r] = t
+            out.append((int(i), int(j)))
+    return out
+
+
+def meet_in_blocks(rest: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: the links among rows that still have to meet.
+
+    Each node has one home, the largest of its regions, cut into blocks of bounded size; two blocks meet once if
+    any region has members of both, so a pair of nodes is compared once however many regions it shares.
+    """
+    sized = rest.withColumn("c", F.count("*").over(Window.partitionBy("key")))
+    home = sized.groupBy("node", "n", "label").agg(F.max(F.struct("c", "key")).alias("h"))
+    block = F.xxhash64("h.key", F.pmod(F.xxhash64("node"), F.ceil(F.col("h.c") / BLOCK)))
+    members = scratch.keep(home.select("node", "label", block.alias("block")), "members")
+    spots = rest.select("key", "node").join(members.select("node", "block"), "node").select("key", "block").distinct()
+    x, y = spots.select("key", F.col("block").alias("x")), spots.select("key", F.col("block").alias("y"))
+    meets = x.join(y, "key").filter("x <= y").select("x", "y").distinct()
+    left = meets.join(members.withColumnRenamed("block", "x"), "x").select("x", "y", "node", "label", F.lit(0).alias("side"))
+    right = meets.filter("x < y").join(members.withColumnRenamed("block", "y"), "y").select("x", "y", "node", "label", F.lit(1).alias("side"))
+    placed = scratch.keep(left.unionByName(right), "placed")
+    tasks = -(-placed.count() // ROWS_A_TASK) or 1
+    whole = placed.withColumn("task", F.pmod(F.xxhash64("x", "y"), F.lit(tasks))).join(sets.select("node", "shingles"), "node")
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for _, pair in g.groupby(["x", "y"], sort=False):
+            a, b = pair[pair["side"] == 0], pair[pair["side"] == 1]
+            other = b if len(b) else a
+            apart = a["label"].to_numpy()[:, None] != other["label"].to_numpy()[None, :]
+            if apart.any():
+                found = linked_in_blocks(a["shingles"].to_list(), b["shingles"].to_list() if len(b) else None, apart, percent)
+                one, two = a["node"].to_list(), other["node"].to_list()
+                out += [(one[i], two[j]) for i, j in found]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return whole.groupBy("task").applyInPandas(meet, "a long, b long")
+
+
 def join_regions(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """a, b: links enough to connect all that links connect. ``rows``: node, n, key."""
-    eps = (100 - percent) / 100
-    linked = F.expr(f"100 * i >= {percent} * u")
-    first, tested = rows.count(), None
-    label = None
+    links = None
     for step in range(ROUNDS):
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(step)), "node")
-        ranked = scratch.keep(rows.withColumn("rn", F.row_number().over(order)), f"ranked{step}")
-        pivots = ranked.filter(F.col("rn") <= PIVOTS).select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("rn").alias("prn"))
-        # sizes so unlike that the distance is over 2 EPS settle the pair: it is outside the window
-        met = ranked.join(pivots, "key").filter((F.col("rn") > F.col("prn")) & (F.least("n", "pn") >= (1 - 2 * eps) * F.greatest("n", "pn")))
-        met = met.select("key", "node", "p", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        pairs = met.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        new = scratch.keep(distances(pairs, sets), f"tested{step}")
-        tested = new if tested is None else tested.unionByName(new)
-        label = scratch.keep(components(tested.filter(linked), scratch, f"cc{step}"), f"label{step}")
-        rest = ranked.filter(F.col("rn") > PIVOTS).join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "n", "key", "label")
-        near = met.join(tested, ["a", "b"]).select("key", "node", "p", (1 - F.col("i") / F.col("u")).alias("d"))
-        cell = near.groupBy("key", "node").agg(F.min(F.struct("d", "p")).alias("cell"))
-        rest = rest.join(cell.select("key", "node", F.col("cell.p").alias("p"), F.col("cell.d").alias("d")), ["key", "node"], "left")
-        # the window of a pivot's cell in a region: members of other components within 2 EPS of the pivot
-        of_pivot = label.select(F.col("node").alias("p"), F.col("label").alias("of"))
-        window = near.filter(F.col("d") <= 2 * eps + 1e-9).join(rest.select("key", "node", "label"), ["key", "node"]).join(of_pivot, "p", "left")
-        window = window.filter(F.col("label") != F.coalesce("of", "p")).select("key", "p", F.lit(True).alias("foreign")).distinct()
-        rest = rest.join(window, ["key", "p"], "left").filter(F.col("d").isNull() | (F.col("d") > eps) | F.col("foreign"))
-        key = Window.partitionBy("key")
-        rest = rest.withColumns({"lo": F.min("label").over(key), "hi": F.max("label").over(key)}).filter("lo < hi")
-        rest = scratch.keep(rest.select("node", "n", "key", "label", "p", "d"), f"rest{step}")
-        size = rest.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-        left = size.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2), F.lit(0)).alias("pairs")).first()["pairs"]
-        if left <= max(4 * first, 100_000) or step == ROUNDS - 1:
-            break
+        found, rest = meet_pivots(rows, sets, percent, step, scratch)
+        links = found if links is None else links.unionByName(found)
         rows = rest.select("node", "n", "key")
-    if left:
-        x, y = rest.alias("x"), rest.alias("y")
-        fit = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        apart = (F.col("x.p") == F.col("y.p")) & (F.abs(F.col("x.d") - F.col("y.d")) > eps + 1e-9)
-        last = x.join(y, F.col("x.key") == F.col("y.key")).filter(fit & ~F.coalesce(apart, F.lit(False)))
-        last = last.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        tested = tested.unionByName(scratch.keep(distances(last, sets), "last"))
-    return tested.filter(linked).select("a", "b")
+    return links.unionByName(scratch.keep(meet_in_blocks(rest, sets, percent, scratch), "blocks"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
