@@ -1,4 +1,4 @@
-"""Text functions C01-C16 as column expressions."""
+"""Text functions C01-C16, E14 as column expressions."""
 
 from __future__ import annotations
 

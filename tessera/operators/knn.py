@@ -1,4 +1,4 @@
-"""Exact nearest neighbours by blocks: V01, V03, V04, V06, V08, V09, G09, W05."""
+"""Exact nearest neighbours by blocks: J19, V01-V03, V04, V06, V08, V09, G09, W05."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Mutations as functions from state to state (K01-K12): nothing is updated in place, a job writes a new snapshot."""
+"""Mutations as functions from state to state (K01-K12): nothing is updated in place, a job writes a new snapshot (K13); K14 is the caller's."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Session defaults for scripts and tests. On a cluster the session comes from outside and is used as it is."""
+"""Session defaults for scripts and tests (S11). On a cluster the session comes from outside and is used as it is."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""The memory model's frames, bound to the driver's tables.
+"""The memory model's frames, bound to the driver's tables (S01, S02, S12; D14: ids stay frames, never Python sets).
 
 A binding is a list of expressions that Spark SQL and other SQL engines read alike, so a check in SQL starts
 from the same rows.  Derived flags (status, archived, merged) come from the keys, as the tables hold no such

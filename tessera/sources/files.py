@@ -1,4 +1,4 @@
-"""File sources S03-S08 and exports K15-K17: JSON lines, snapshots, tables in Markdown."""
+"""File sources S03-S08 (S09, S10: pages and change pages come as tables; D13: captures as declared structs) and exports K15-K17: JSON lines, snapshots, tables in Markdown."""
 
 from __future__ import annotations
 
