@@ -278,7 +278,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     shown = scratch.keep(show(docs, words, percent), "shown")
     nodes = scratch.keep(candidates(shown), "candidates")
-    some = docs.select(null_safe(F.col("doc_id")).alias("__id"), "text").join(nodes.select(null_safe(F.col("doc_id")).alias("__id")).distinct(), "__id", "left_semi")
+    # texts meet the candidates' ids by a shuffle at every size: the ids are a share of the corpus, nothing to broadcast
+    some = docs.select(null_safe(F.col("doc_id")).alias("__id"), "text").hint("merge").join(nodes.select(null_safe(F.col("doc_id")).alias("__id")).distinct(), "__id", "left_semi")
     sets = scratch.keep(whole_sets(some, words).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     rows = scratch.keep(rarest(sets, percent), "rows")
     links = join_regions(rows, sets, percent, scratch)
