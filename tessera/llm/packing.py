@@ -34,14 +34,14 @@ from .common import Scratch, arrow_batches, table
 CAPACITY = 4096
 END_ID = 1
 BUCKET_ROWS = 8192
-KEPT_ITEMS, RECENT_ITEMS, AT_ONCE = 300_000, 500_000, 48
+KEPT_ITEMS, RECENT_ITEMS, AT_ONCE, LONGEST_KEPT = 500_000, 500_000, 48, 64
 ENDS = (".", ",")
 
 
 class Encoder(dict):
     """Ids of space-free items as little-endian bytes, remembered. White space never reaches a token of this tokenizer, so a text's ids
     are those of its items in turn; nor do letters and a stop or comma share a token, so an item's ids are those of its stem and its end.
-    The first stems met, the frequent ones, stay; later ones are forgotten when they are too many."""
+    The first items and stems met, the frequent ones, stay; later ones are forgotten when they are too many."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -60,15 +60,24 @@ class Encoder(dict):
             return item
         return body.lower() if body.isascii() else body
 
+    @staticmethod
+    def plain(item: str) -> bool:
+        """Whether an item may be encoded beside others: letters and digits, or printable ASCII without a special token's mark."""
+        return item.isalnum() or (item != "" and item.isascii() and item.isprintable() and "<|" not in item)
+
     def __missing__(self, item: str) -> bytes:
         stem = self.stem(item)
         if stem == item:
             found = self.recent.get(item)
             if found is None:
                 found = self.encoded(item)
-                self.remember(item, found)
+                if len(item) <= LONGEST_KEPT:
+                    self.remember(item, found)
             return found
-        return self[stem] + (self.ends[item[-1]] if item[-1] in ENDS else b"")
+        found = self[stem] + (self.ends[item[-1]] if item[-1] in ENDS else b"")
+        if len(self) < KEPT_ITEMS and len(item) <= LONGEST_KEPT:
+            self[item] = found
+        return found
 
     def remember(self, stem: str, ids: bytes) -> None:
         if len(self) < KEPT_ITEMS:
@@ -78,10 +87,10 @@ class Encoder(dict):
                 self.recent.clear()
             self.recent[stem] = ids
 
-    def learn(self, items: set[str]) -> None:
-        """Encodes the plain stems not known yet, a few dozen a call, told apart by the places their tokens come from."""
+    def learn(self, items: list[str]) -> None:
+        """Encodes stems not known yet, a few dozen a call, told apart by the places their tokens come from."""
         stems = {self.stem(x) for x in items}
-        new = [x for x in stems.difference(self.keys()).difference(self.recent) if x.isalnum()]
+        new = [x for x in stems if x not in self and x not in self.recent and len(x) <= LONGEST_KEPT and self.plain(x)]
         for at in range(0, len(new), AT_ONCE):
             part = new[at : at + AT_ONCE]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -95,9 +104,18 @@ class Encoder(dict):
 
     def ids_of(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split).difference(self.keys()))
+        new = [x for x in set().union(*split) if x not in self]
+        self.learn(new)
+        passing = {}  # kept for these texts only
+        for x in new:
+            ids = self[x]
+            if x not in self:
+                passing[x] = ids
+        self.update(passing)
         for items in split:
             yield b"".join(map(self.__getitem__, items))
+        for x in passing:
+            del self[x]
 
 
 @lru_cache(maxsize=2)
