@@ -20,7 +20,7 @@ carried by ``repeat_rows`` and ignored by ``plan_mix``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, null_safe, table, word_count
@@ -33,6 +33,11 @@ SEED = "mix-1"
 BUCKET_ROWS = 4096
 
 
+def seeded(seed: str) -> Column:
+    """The place of a document in its source's seeded order."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
 def source_targets(sized: DataFrame) -> DataFrame:
     """One row a source: skey, source_size, n_docs, weight, target. ``sized`` has source, skey, size."""
     per = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -57,7 +62,7 @@ def plan_mix(docs: DataFrame, scratch: Scratch, seed: str = SEED, cut_border: bo
     sized = scratch.keep(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
         .withColumn("skey", null_safe(F.col("source")))
-        .withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))),
+        .withColumn("h", seeded(seed)),
         "sized",
     )
     targets = scratch.keep(source_targets(sized).withColumn("n_buckets", F.least(F.lit(65536), F.ceil(F.col("n_docs") / BUCKET_ROWS)).cast("long")), "targets")
@@ -83,16 +88,17 @@ def plan_mix(docs: DataFrame, scratch: Scratch, seed: str = SEED, cut_border: bo
 def repeat_rows(docs: DataFrame, scratch: Scratch, seed: str = SEED) -> DataFrame:
     """The mixed corpus itself: every row of ``docs`` as often as the plan takes it whole, all columns kept.
 
-    The plan is joined back on (doc_id, source, size); rows equal in all three share one repetition count, their
-    most, so that equal rows are neither multiplied by the join nor lost.
+    Documents of the fractional epoch are a prefix of their source's seeded order, so a row a source (whole epochs,
+    the last place of the prefix) says how often each text is taken, and texts are not shuffled.  Rows equal in
+    id, source and size share one place, so they share one repetition count.
     """
-    key = ["__id", "__source", "__size"]
-    keyed = docs.select("*", null_safe(F.col("doc_id")).alias("__id"), null_safe(F.col("source")).alias("__source"), word_count(F.col("text")).alias("__size"))
+    place = lambda size: F.struct(seeded(seed).alias("h"), size.alias("size"))
     plan = plan_mix(docs, scratch, seed, cut_border=False)
-    times = plan.groupBy(null_safe(F.col("doc_id")).alias("__id"), F.col("skey").alias("__source"), F.col("size").alias("__size")).agg(
-        F.max(F.col("epochs") + (F.col("extra") > 0).cast("long")).alias("__times")
-    )
-    out = keyed.join(scratch.keep(times.filter("__times > 0"), "times"), key)
+    last = F.max(F.when(F.col("extra") > 0, place(F.col("size"))))
+    ends = scratch.keep(plan.groupBy(F.col("skey").alias("__source")).agg(F.max("epochs").alias("__epochs"), last.alias("__last")), "ends")
+    keyed = docs.select("*", null_safe(F.col("source")).alias("__source"), word_count(F.col("text")).alias("__size"))
+    extra = (F.col("__size") > 0) & F.coalesce(place(F.col("__size")) <= F.col("__last"), F.lit(False))
+    out = keyed.join(ends, "__source").withColumn("__times", F.col("__epochs") + extra.cast("long")).filter("__times > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
 
 
