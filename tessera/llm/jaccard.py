@@ -10,15 +10,15 @@ all pairs of a group:
     their whole sets are formed.  The same test is repeated on whole sets.
 3.  Regions: a candidate belongs to the region of each of its rarest shingles, as many as no partner can miss
     (prefix bound), so partners meet in a region.  Each region chooses pivots by a seeded hash; distances to
-    the pivots are computed exactly, and every member belongs to its nearest pivot's Voronoi cell.  Then the
-    region is joined again without what is settled: pivots have met all members; the members of a cell's core
+    the pivots are computed exactly, and every member belongs to its nearest pivot's Voronoi cell.  Then what
+    is settled leaves the region (ROUNDS times): pivots have met all members; the members of a cell's core
     (within EPS of its pivot) leave if no foreign member lies in the window that the triangle inequality allows
     (within 2 EPS of the pivot); a region whose members are known to be connected is done.
 4.  What is left, dense regions of documents near the threshold, is compared exactly in blocks of bounded
     size, two blocks once at most, however many regions they share; a block pair gives a spanning forest.
 5.  Components of the links give every document's class.
 
-Only components matter, so a group of thousands of near copies costs its distances to a few pivots a round.
+Only components matter, so a group of thousands of near copies mostly costs its distances to a few pivots.
 
 Edge cases: text that is null, empty or without words has no shingles and links with nothing; fewer words
 than a shingle make one shingle; repeated rows and equal texts are one node; null ids take part, and the
