@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import jaccard, mixing, packing, pii, qda
 from tessera.llm.common import Scratch, table
 
+#: Near copies share 80 percent of their shingles of five words; op9_jaccard_join has a contract of its own (4 and 85).
+WORDS, PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -19,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    return jaccard.keep_one(docs, Scratch(spark, "deduplicate"))
+    return jaccard.keep_one(docs, Scratch(spark, "deduplicate"), WORDS, PERCENT)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,9 +291,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def keep_one(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without near copies: of each class the row with the smallest id; rows equal in all columns are one."""
-    found = near_duplicates(docs, scratch)
+    found = near_duplicates(docs, scratch, words, percent)
     stay = scratch.keep(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(null_safe(F.col("doc_id")).alias("__id")).distinct(), "stay")
     kept = docs.withColumn("__id", null_safe(F.col("doc_id"))).join(stay, "__id", "left_semi")
     return kept.dropDuplicates().select(*docs.columns)

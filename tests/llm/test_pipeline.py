@@ -35,3 +35,23 @@ def test_stages_follow_each_other(spark):
         ids = np.array([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 1], "<u4")
         want += [(r["doc_id"], at // 4096, zlib.crc32(ids[at : at + 4096].tobytes())) for at in range(0, len(ids), 4096)]
     assert sorted(map(tuple, packed[["doc_id", "piece", "ids_crc32"]].values.tolist())) == sorted(want)
+
+
+def five_word_similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_deduplicate_takes_five_words_and_80_percent(spark):
+    rng, texts = np.random.default_rng(7), {}
+    for size in (60, 400, 1600):
+        for k, share in enumerate((0.16, 0.20, 0.22, 0.24, 0.28, 0.32)):
+            base = [f"b{size}x{k}x{i}" for i in range(size)]
+            texts[len(texts)] = " ".join(base)
+            texts[len(texts)] = " ".join(base + [f"t{w}" for w in rng.integers(10**9, size=int(share * size))])
+    pairs = {i: five_word_similarity(texts[i], texts[i + 1]) for i in range(0, len(texts), 2)}
+    assert sum(0.8 <= s < 0.85 for s in pairs.values()) >= 6 and sum(s < 0.8 for s in pairs.values()) >= 6
+    assert all(five_word_similarity(texts[i], texts[j]) == 0 for i in texts for j in texts if i // 2 < j // 2)
+    want = {i for i in texts if i % 2 == 0 or pairs[i - 1] < 0.8}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.deduplicate(spark, docs, DATA).collect()} == want
