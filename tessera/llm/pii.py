@@ -42,7 +42,10 @@ DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL_REST = re.compile(r"[^\s<>\"'|]+")
 SCHEME_START = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,15}\Z")
-ASSIGNED = re.compile(r"[\"']?\s{0,3}(?:[=:]|is\b)\s{0,3}[\"']?([A-Za-z0-9_./+=-]{8,256})")
+ASSIGNED = re.compile(r"[\"']?\s{0,3}(?:[=:]|is\b)\s{0,3}[\"']?")
+VALUE = re.compile(r"[A-Za-z0-9_./+=-]++")
+LAST_DIGIT = re.compile(r".*[0-9]")
+MIN_SECRET = 8
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 ACCOUNT_NUMBER = re.compile(r"\W{0,3}(?:no\.?|number|nr\.?|#)?[\s:#=]{0,3}([0-9](?:[ -]?[0-9]){5,33})(?![0-9])", re.I)
 WRITTEN_LEFT = re.compile(r"([A-Za-z0-9._%+-]{1,64})\s?\Z")
@@ -114,6 +117,7 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     base: dict[str, list[Span]] = {"email": [], "ip": ips(text), "card": cards(text), "phone": phones(text) if "+" in text else []}
     extra: dict[str, list[Span]] = {k: [] for k in KINDS}
     done = 0
+    run, digit = 0, 0  # ends of the last run of value characters and of its last digit: a later value in it is its tail
     for last, (kind, width) in anchors().iter(text):
         start, end = last + 1 - width, last + 1
         if kind == "at":
@@ -131,9 +135,14 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
             if left and right:
                 extra["email"].append((start - len(left.group()), right.end()))
         elif kind == "secret":
-            value = ASSIGNED.match(text, end)
-            if value and (any(map(str.isdigit, value[1])) or value.group().rstrip()[-1] in "\"'"):
-                extra["secret"].append(value.span(1))
+            if assigned := ASSIGNED.match(text, end):
+                at = assigned.end()
+                if at >= run and (value := VALUE.match(text, at)):
+                    run = value.end()
+                    found = LAST_DIGIT.match(text, at, run)
+                    digit = found.end() if found else at
+                if run - at >= MIN_SECRET and digit > at:
+                    extra["secret"].append((at, run))
         elif value := ACCOUNT_NUMBER.match(text, end):
             extra["account"].append(value.span(1))
     extra["account"] += [m.span() for m in IBAN.finditer(text) if iban_valid(m.group())]

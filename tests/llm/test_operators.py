@@ -320,6 +320,32 @@ def test_added_spans_and_mask():
     assert pii.masked(clean) == clean and pii.masked("") == ""
 
 
+def test_secrets_of_any_length_are_whole():
+    import random
+    import time
+
+    value = "eyJhbGciOiJIUzI1NiJ9." * 23
+    assert len(value) > 480 and pii.find("token=" + value + " end")[1]["secret"] == [(6, 6 + len(value))]
+    assert pii.masked(f'a token="{value}", and password: {value}!') == 'a token="<secret>", and password: <secret>!'
+    assert pii.masked("token=" + "a" * 300 + "1") == "token=<secret>" and pii.masked("token=" + "a" * 300) == "token=" + "a" * 300
+    assert pii.masked('token=my1token="abcd1234"') == 'token=<secret>"<secret>"' and pii.masked('token=mytoken="abcd1234"') == 'token=mytoken="<secret>"'
+    # a value is the whole run of its characters after any cue
+    rng, cue = random.Random(3), re.compile(r"token|secret")
+    whole = re.compile(r"[\"']?\s{0,3}(?:[=:]|is\b)\s{0,3}[\"']?([A-Za-z0-9_./+=-]{8,})")
+    for _ in range(5000):
+        text = "".join(rng.choice(["token", "secret", "=", ":", " is ", " ", '"', "abc", "7", "-abcdefgh", "\n", "\u00e9"]) for _ in range(rng.randrange(30)))
+        want = []
+        for m in cue.finditer(text):
+            v = whole.match(text, m.end())
+            if v and re.search("[0-9]", v[1]) and (not want or v.start(1) >= want[-1][1]):
+                want.append(v.span(1))
+        assert pii.find(text)[1]["secret"] == want, text
+    began = time.time()
+    for t in ("token=", "token=1", "token:a", "=secret"):
+        pii.find("token=" + t * 60_000)
+    assert time.time() - began < 20
+
+
 def test_long_texts_take_linear_time():
     import time
 
