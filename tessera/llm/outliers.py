@@ -7,7 +7,8 @@ language and source has its own location and covariance by minimum covariance de
 deterministic starts (medians and quartiles; mean and covariance) concentration steps keep the closest
 three quarters of the group's rows, the start with the smaller determinant wins, and one reweighting step
 follows.  Rows beyond a far quantile of the chi-square distribution are rejected.  Groups with few rows use
-their language's estimate, or that of all rows.
+their language's estimate, or that of all rows; these are made from all passing rows of the language or of the
+table, in the same aggregates.
 
 Scale: all estimates are sums per group, merged on the map side, so a source with a third of the rows costs
 what any other costs.  The closest three quarters are found from a histogram of log distances (bounded bins
@@ -80,12 +81,18 @@ def chi_square(p: float, d: int) -> float:
     return d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(p) * math.sqrt(2 / (9 * d))) ** 3
 
 
-def with_groups(rows: DataFrame) -> DataFrame:
-    """Adds ``g``: (language, source), or the language alone, or all, whichever has rows enough."""
+def with_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds ``g``, whose estimate judges the row: that of (language, source), or the language, or all, whichever has rows enough;
+    and ``part_of``: all groups that judge any row and whose estimate the row is part of."""
     n = rows.groupBy("lkey", "skey").agg(F.count("*").alias("n"))
-    of_lang = F.sum("n").over(Window.partitionBy("lkey"))
-    g = F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\x1f", "lkey", "skey")).when(of_lang >= MIN_GROUP, F.col("lkey")).otherwise(F.lit("all"))
-    return rows.join(n.select("lkey", "skey", g.alias("g")), ["lkey", "skey"])
+    n = n.withColumn("of_lang", F.sum("n").over(Window.partitionBy("lkey")))
+    large, of_lang = F.col("n") >= MIN_GROUP, F.col("of_lang") >= MIN_GROUP
+    own, every = F.concat_ws("\x1f", "lkey", "skey"), F.lit("all")
+    n = n.withColumn("g", F.when(large, own).when(of_lang, F.col("lkey")).otherwise(every))
+    n = scratch.keep(n.withColumn("by_lang", F.max(~large & of_lang).over(Window.partitionBy("lkey"))), "groups")
+    by_all = F.lit(bool(n.filter(F.col("g") == every).limit(1).count()))
+    parts = F.array_compact(F.array(F.when(large, own), F.when(F.col("by_lang"), F.col("lkey")), F.when(by_all, every)))
+    return rows.join(n.select("lkey", "skey", "g", parts.alias("part_of")), ["lkey", "skey"])
 
 
 def factored(sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -159,8 +166,8 @@ def judge(docs: DataFrame, keep: list[str], scratch: Scratch) -> DataFrame:
     """``keep``, the base statistics, base_failed and kept for every row."""
     docs = docs.withColumns({"lkey": null_safe(F.col("lang")), "skey": null_safe(F.col("source"))})
     known = scratch.keep(base_statistics(docs, [*keep, "lkey", "skey"]), "known")
-    passed = with_groups(known.filter(~F.col("base_failed")))
-    rows = scratch.keep(passed.select("g", *[c.alias(n) for n, c in vectors().items()]), "vectors")
+    passed = with_groups(known.filter(~F.col("base_failed")), scratch)
+    rows = scratch.keep(passed.select(F.explode("part_of").alias("g"), *[c.alias(n) for n, c in vectors().items()]), "vectors")
     est = robust_estimates(rows, scratch)
     verdicts = passed.withColumns(vectors()).join(est, "g", "left")
     kept = F.coalesce(distance() <= chi_square(1 - REJECT_AT, len(DIMS)), F.lit(True))

@@ -213,6 +213,26 @@ def test_outlier_base_and_verdicts(spark, docs):
     assert sum(f[6] for f in good) >= 0.97 * len(good)
 
 
+def test_outlier_in_a_small_group_is_judged_by_the_next_level(spark):
+    rng, vocabulary, rows = np.random.default_rng(5), [f"{x}{y}" for x in PROSE.split() for y in ("", "s", "ing", "ed")], []
+
+    def add(lang, source, n, junk=""):
+        for _ in range(n):
+            w = rng.choice(vocabulary, int(rng.integers(60, 300)))
+            rows.append((len(rows), "\n".join(" ".join(x) + junk for x in np.array_split(w, 6)), lang, source))
+        return [r[0] for r in rows[-n:]]
+
+    add("en", "large", 300)
+    add("fr", "large", 80)
+    plain = add("en", "rare", 1) + add("fr", "other", 2) + add("xx", "none", 1) + add(None, None, 1)
+    spam = add("en", "spam", 1, " $$$$$|||||<<<<<>>>>>" * 4) + add("en", "spams", 3, " #####*****%%%%%" * 4) + add("yy", "spam", 1, " &&&&&|||||" * 4)
+    found = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"], Scratch(spark, "t"))
+    found = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in found.collect()}
+    assert len(found) == len(rows)
+    assert [found[i] for i in plain] == [(False, True)] * len(plain)
+    assert [found[i] for i in spam] == [(False, False)] * len(spam)
+
+
 def test_outlier_messy(spark, messy, none):
     found = outliers.judge(messy, ["doc_id"], Scratch(spark, "t")).collect()
     want = Counter((i, *base_of(t)) for i, t, *_ in MESSY)
