@@ -252,10 +252,12 @@ def brute_top(rows, k):
     }
 
 
-def test_topk_blocks_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("lists", [1, 2, 4])
+def test_topk_blocks_equal_brute_force(spark, monkeypatch, lists):
     monkeypatch.setattr(topk, "VECTORS_A_BLOCK", 97)
     monkeypatch.setattr(topk, "QUERIES_A_BLOCK", 3)
-    monkeypatch.setattr(topk, "FEW", 8)
+    monkeypatch.setattr(topk, "QUERIES_AT_ONCE", 2)
+    monkeypatch.setattr(topk, "LISTS", lists)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1 if i % 3 else 0)]) for i in range(600)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -266,11 +268,31 @@ def test_topk_blocks_equal_brute_force(spark, monkeypatch):
     assert got == brute_top(rows, 5)
 
 
+def test_topk_stops_early_and_is_exact_on_large_numbers():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    ids = rng.permutation(4000)
+    found = topk.block_top(ids[:40], x[:40], ids, x, 5)
+    for i, best, scores, depth in found:
+        s = x @ x[i]
+        order = [j for j in np.lexsort((ids, -s)) if j != i][:5]
+        assert best.tolist() == ids[order].tolist() and scores.tolist() == s[order].tolist()
+    assert np.mean([depth for *_, depth in found]) < 0.3 * len(x)
+    huge = np.array([[2**62, 2**61], [2**62, 2**61 - 1], [-(2**62), 3], [2**40 + 1, 5], [2**40, 6], [7, 7], [8, 8]])
+    for i, best, scores, _ in topk.block_top(np.arange(7), huge, np.arange(7), huge, 3):
+        exact = {j: max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(huge[i], huge[j], strict=True)))) for j in range(7) if j != i}
+        want = sorted(exact, key=lambda j: (-exact[j], j))[:3]
+        assert best.tolist() == want and scores.tolist() == [exact[j] for j in want]
+
+
 def test_topk_messy(spark):
-    rows = [(0, [1.0, 2.0], 1), (50, None, 1), (100, [float("nan"), 1.0], 1), (1, [1.0, None], 1), (2, [1e9, 1e9], 1), (3, [1.0], 1), (None, [1.0, 1.0], 1), (4, [1.0, 2.0], 1), (4, [1.0, 2.0], 1), (5, [], 1)]
+    rows = [(0, [1.0, 2.0], 1), (50, None, 1), (100, [float("nan"), 1.0], 1), (1, [1.0, None], 1), (2, [1e9, 1e9], 1), (3, [1.0], 1), (None, [1.0, 1.0], 1), (4, [1.0, 2.0], 1), (4, [1.0, 2.0], 1), (5, [], 1), (150, [], 1), (200, [1e300, 1e300, 0.0], 1), (6, [1e300, 1e300, 1.0], 1), (7, [-1e300, 0.5, 1.0], 1)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     found = topk.search(topk.whole_vectors(v), Scratch(spark, "t"), F.col("vec_id") % 50 == 0).orderBy("rank").collect()
-    assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, 2, 256 * 256 * 10**9 + 512 * 256 * 10**9), (0, 4, 256 * 256 + 512 * 512), (0, 4, 256 * 256 + 512 * 512)]
+    found = [(r["query_id"], r["vec_id"], r["score"]) for r in found]
+    assert [r for r in found if r[0] == 0] == [(0, 2, 256 * 256 * 10**9 + 512 * 256 * 10**9), (0, 4, 256 * 256 + 512 * 512), (0, 4, 256 * 256 + 512 * 512)]
+    assert [r for r in found if r[0]] == [(150, 5, 0), (200, 6, 2**63 - 1), (200, 7, -(2**63))]
     assert topk.search(topk.whole_vectors(v.limit(0)), Scratch(spark, "t"), F.col("vec_id") % 50 == 0).count() == 0
 
 
