@@ -1,24 +1,27 @@
 """Operator 9: exact n-gram Jaccard join in the metric space of shingle sets.
 
-Jaccard distance (1 - similarity) is a metric; two sets link at distance EPS or less.  The join never forms
-all pairs of a group:
+Jaccard distance (1 - similarity) is a metric; two sets link at distance EPS or less.
 
 1.  Equal sets become one node (a 128-bit digest of the sorted set, of which 64 bits name the node).
 2.  Most nodes have no partner.  Every node shows its shingles below a hash threshold that depends on its
     size only; a partner shares all but EPS of the set, so a node that misses more than that many of them in
-    all other nodes together is out.  What is left ("candidates") is a small share of the corpus, and only
-    their whole sets are formed.  The same test is repeated on whole sets.
-3.  Regions: a candidate belongs to the region of each of its rarest shingles, as many as no partner can miss
-    (prefix bound), so partners meet in a region.  Each region chooses pivots by a seeded hash; distances to
-    the pivots are computed exactly, and every member belongs to its nearest pivot's Voronoi cell.  Then what
-    is settled leaves the region (ROUNDS times): pivots have met all members; the members of a cell's core
-    (within EPS of its pivot) leave if no foreign member lies in the window that the triangle inequality allows
-    (within 2 EPS of the pivot); a region whose members are known to be connected is done.
-4.  What is left, dense regions of documents near the threshold, is compared exactly in blocks of bounded
-    size, two blocks once at most, however many regions they share; a block pair gives a spanning forest.
-5.  Components of the links give every document's class.
-
-Only components matter, so a group of thousands of near copies mostly costs its distances to a few pivots.
+    all other nodes together is out.  What is left ("candidates") is a share of the corpus, and only their whole
+    sets are formed.  The same test is repeated on whole sets.
+3.  Recursion over the candidates.  A level draws pivots by a seeded hash, and finds their exact distances to
+    all that lie within 3 EPS (a join on the pivots' rarest shingles, as many as no such pair can miss; all
+    other distances are known to be larger).  Nodes within 2 EPS of a pivot leave for the Voronoi cell of
+    their nearest one.  By the triangle inequality a partner of a member of cell p lies within 3 EPS of p, and one
+    in another cell q is at most 2 EPS farther from p than from q, so these windows are replicated into
+    region p, of two cells into the one with the smaller name only.  Nodes with no pivot that near
+    are the remainder: the next level draws GROWTH times as many pivots from it, until all of it are pivots.
+    Large groups are met by few pivots at early levels; what late levels hold is sparse.
+4.  Regions of more than BLOCK members are split by pivots of their own in the same way (distances to a few
+    pivots, nearest cells, windows of 2 EPS), as long as that at least halves them.  Members known to be
+    connected need not meet: a region keeps, of its largest class, only what the distances to its pivot
+    allow to be near the others.
+5.  Small regions, and those that windows do not split, end in exact comparison, in blocks of bounded size,
+    two blocks once at most, however many regions they share; a block pair gives a spanning forest.
+6.  Components of the links give every document's class.
 
 Edge cases: text that is null, empty or without words has no shingles and links with nothing; fewer words
 than a shingle make one shingle; repeated rows and equal texts are one node; null ids take part, and the
@@ -28,12 +31,13 @@ smallest id that is there names the class; an empty table gives no rows; extra c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_batches, null_safe, table
@@ -41,8 +45,8 @@ from .components import components
 
 WORDS = 4
 PERCENT = 85
-PIVOTS = 4
-ROUNDS = 1
+PIVOTS, GROWTH = 16, 16
+POSTINGS_A_TASK = 4096
 BLOCK, ROWS_A_TASK, COLUMNS = 512, 2000, 4096
 MAX_WORDS_KNOWN = 500_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -135,13 +139,15 @@ def candidates(shown: DataFrame) -> DataFrame:
 
 
 def rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """node, n, key: of each node that shares enough, the rarest shingles, as many as a partner cannot miss, if others have them."""
+    """node, n, key, df, near: of each node that shares enough, the rarest shingles that others have, as many as a node within 3 EPS
+    cannot miss (``near``: within EPS). Shingles nobody shares come first in that order, but join nothing, so they are only counted."""
     rows = sets.select("node", "n", F.explode("shingles").alias("key"))
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("key")))
-    ranked = rows.groupBy("node", "n").agg(F.count_if(F.col("df") > 1).alias("shared"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("order"))  # one document's shingles
-    ranked = ranked.filter(F.col("n") - F.col("shared") <= F.floor((100 - percent) * F.col("n") / 100))
-    longest = F.expr(f"cast(n - ceil({percent} * n / 100) + 1 as int)")
-    return ranked.select("node", "n", F.explode(F.slice("order", F.lit(1), longest)).alias("x")).filter("x.df > 1").select("node", "n", F.col("x.key").alias("key"))
+    shared = rows.join(rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "key")
+    ranked = shared.groupBy("node", "n").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("order"))  # one document's shingles
+    ranked = ranked.filter(f"n - shared <= {100 - percent} * n div 100")
+    upto = lambda pct: F.greatest(F.lit(0), F.expr(f"cast(n - ceil({pct} * n / 100) + 1 - (n - shared) as int)"))
+    ranked = ranked.select("node", "n", upto(percent).alias("close"), F.slice("order", F.lit(1), upto(3 * percent - 200)).alias("order"))
+    return ranked.select("node", "n", "close", F.posexplode("order").alias("pos", "x")).select("node", "n", F.col("x.key").alias("key"), F.col("x.df").alias("df"), (F.col("pos") < F.col("close")).alias("near"))
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,38 +158,98 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "i", (F.size("sa") + F.size("sb") - F.col("i")).cast("long").alias("u"))
 
 
-def known_labels(links: DataFrame) -> DataFrame:
-    """node, label: a node that is connected to it; the least neighbour's least neighbour. Nodes without links are left out."""
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a"))
-    least = both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label"))
-    jump = least.select(F.col("node").alias("label"), F.col("label").alias("__l"))
-    return least.join(jump, "label").select("node", F.col("__l").alias("label"))
+def chance(seed: str | int) -> Column:
+    """A number in [0, 1) for each node, seeded."""
+    return F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def meet_pivots(rows: DataFrame, sets: DataFrame, percent: int, step: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Joins every region with its pivots: (links found, rows that must still meet, with their labels)."""
-    eps = (100 - percent) / 100
-    order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(step)), "node")
-    ranked = scratch.keep(rows.withColumn("rn", F.row_number().over(order)), f"ranked{step}")
-    pivots = ranked.filter(F.col("rn") <= PIVOTS).select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("rn").alias("prn"))
-    # sizes so unlike that the distance is over 2 EPS settle the pair: it is outside the window
-    met = ranked.join(pivots, "key").filter((F.col("rn") > F.col("prn")) & (F.least("n", "pn") >= (1 - 2 * eps) * F.greatest("n", "pn")))
-    met = met.select("key", "node", "p", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-    tested = scratch.keep(distances(met.select("a", "b").distinct(), sets), f"tested{step}")
-    links = tested.filter(f"100 * i >= {percent} * u").select("a", "b")
-    label = scratch.keep(known_labels(links), f"label{step}")
-    rest = ranked.filter(F.col("rn") > PIVOTS).join(label, "node", "left").select("node", "n", "key", F.coalesce("label", "node").alias("label"))
-    near = met.join(tested, ["a", "b"]).select("key", "node", "p", (1 - F.col("i") / F.col("u")).alias("d"))
-    cell = near.groupBy("key", "node").agg(F.min(F.struct("d", "p")).alias("cell"))
-    rest = rest.join(cell.select("key", "node", F.col("cell.p").alias("p"), F.col("cell.d").alias("d")), ["key", "node"], "left")
-    # the window of a pivot's cell in a region: members not known to be connected within 2 EPS of the pivot
-    of_pivot = label.select(F.col("node").alias("p"), F.col("label").alias("of"))
-    window = near.filter(F.col("d") <= 2 * eps + 1e-9).join(rest.select("key", "node", "label"), ["key", "node"]).join(of_pivot, "p", "left")
-    window = window.filter(F.col("label") != F.coalesce("of", "p")).select("key", "p", F.lit(True).alias("foreign")).distinct()
-    rest = rest.join(window, ["key", "p"], "left").filter(F.col("d").isNull() | (F.col("d") > eps) | F.col("foreign"))
-    key = Window.partitionBy("key")
-    rest = rest.withColumns({"lo": F.min("label").over(key), "hi": F.max("label").over(key)}).filter("lo < hi")
-    return links, scratch.keep(rest.select("node", "n", "key", "label"), f"rest{step}")
+def root_pairs(index: DataFrame, left: DataFrame, level: int, share: float, percent: int) -> DataFrame:
+    """p, x: each pivot with the nodes left that may be within 3 EPS of it (of two pivots: EPS). Frequent shingles are split over tasks."""
+    here = index.join(left, "node", "left_semi").withColumn("parts", F.ceil(F.col("df") / POSTINGS_A_TASK))
+    is_pivot = chance(level) < share
+    rows = here.select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("x"), F.col("n").alias("xn"), F.col("near").alias("xnear"), is_pivot.alias("xp"))
+    pivots = here.filter(is_pivot).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("near").alias("pnear"))
+    both = pivots.join(rows, ["key", "part"]).filter("p <> x and (not xp or (p < x and pnear and xnear))")
+    return both.filter(100 * F.least("pn", "xn") >= (3 * percent - 200) * F.greatest("pn", "xn")).select("p", "x").distinct()
+
+
+def with_distance(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (p, x, maybe more) with their distance d and ``link``."""
+    met = distances(pairs.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct(), sets)
+    met = met.select("a", "b", (1 - F.col("i") / F.col("u")).alias("d"), (100 * F.col("i") >= percent * F.col("u")).alias("link"))
+    return pairs.withColumns({"a": F.least("p", "x"), "b": F.greatest("p", "x")}).join(met, ["a", "b"])
+
+
+def cells(met: DataFrame, within: float, window: float, eps: float) -> DataFrame:
+    """region, p, node, d: the Voronoi cells of each region's pivots with their windows, from ``met`` (region, p, x, d, no pivots among x).
+
+    ``within``: radius of a cell; ``window``: of the distances from p to nodes without a cell that are partners at most.
+    """
+    nearest = F.min(F.struct("d", "p")).over(Window.partitionBy("region", "x"))
+    found = met.withColumn("c", nearest).withColumn("has", F.col("c.d") <= within)
+    own = F.col("has") & (F.col("p") == F.col("c.p"))
+    other = F.col("has") & (F.col("p") < F.col("c.p")) & (F.col("d") <= F.col("c.d") + 2 * eps + 1e-9)
+    loose = ~F.col("has") & (F.col("d") <= window)
+    return found.filter(own | other | loose).select("region", "p", F.col("x").alias("node"), "d")
+
+
+def split_root(index: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(links found, regions as tables of region, node, d): all links between candidates are found, or have both ends in a region."""
+    eps, links, regions = (100 - percent) / 100, [], []
+    left, level = scratch.keep(index.select("node").distinct(), "left0"), 0
+    while n := left.count():
+        share = min(1.0, PIVOTS * GROWTH**level / n)
+        pairs = scratch.keep(root_pairs(index, left, level, share, percent), f"pairs{level}")
+        met = scratch.keep(with_distance(pairs, sets, percent).filter(F.col("d") <= 3 * eps + 1e-9), f"met{level}")
+        links.append(met.filter("link").select("a", "b"))
+        if share == 1:  # all are pivots: all have met
+            break
+        pivots = left.filter(chance(level) < share)
+        members = met.join(pivots.withColumnRenamed("node", "x"), "x", "left_anti").withColumn("region", F.lit(0).cast("long"))
+        found = cells(members, 2 * eps + 1e-9, 3 * eps + 1e-9, eps)
+        regions.append(scratch.keep(found.select(F.xxhash64("p", F.lit(level)).alias("region"), "node", "d"), f"regions{level}"))
+        gone = members.filter(F.col("d") <= 2 * eps + 1e-9).select(F.col("x").alias("node")).union(pivots)
+        level += 1
+        left = scratch.keep(left.join(gone, "node", "left_anti"), f"left{level}")
+    return links, regions
+
+
+def undecided(rows: DataFrame, label: DataFrame, eps: float) -> DataFrame:
+    """region, node, d, label: the members that must still meet members of other classes.
+
+    Members of a region's largest class meet only others: those nearer to the region's pivot than all others less
+    EPS, or farther than all others and EPS, cannot be partners of any.
+    """
+    named = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per = named.groupBy("region", "label").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    top = per.groupBy("region").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes")).filter("classes > 1").select("region", F.col("top.label").alias("most"))
+    rest = per.join(top, "region").filter("label <> most").groupBy("region", "most").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return named.join(rest, "region").filter((F.col("label") != F.col("most")) | F.col("d").between(F.col("lo") - eps - 1e-9, F.col("hi") + eps + 1e-9)).select("region", "node", "d", "label")
+
+
+def split_regions(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(links found, regions to be compared exactly: region, node, d), by recursion into the regions of more than BLOCK members."""
+    eps, links, done, level = (100 - percent) / 100, [], [], 0
+    rows = rows.withColumn("parent", F.lit(1 << 60))
+    while True:
+        size = rows.groupBy("region").agg(F.count("*").alias("c"), F.first("parent").alias("parent"))
+        deep = scratch.keep(size.filter((F.col("c") > BLOCK) & (2 * F.col("c") <= F.col("parent"))).select("region", "c"), f"deep{level}")
+        done.append(rows.join(deep, "region", "left_anti").select("region", "node", "d"))
+        if deep.isEmpty():
+            return links, done
+        # a region as large is split over tasks; its pivots go to each of them
+        parts = F.ceil(F.col("c") / POSTINGS_A_TASK)
+        sized = rows.join(deep, "region").select("region", "node", "d", "c", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part"), (chance(f"split{level}") < PIVOTS / F.col("c")).alias("is_pivot"))
+        sized = scratch.keep(sized, f"sized{level}")
+        pivots = sized.filter("is_pivot").select("region", F.col("node").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        pairs = sized.select("region", "part", F.col("node").alias("x"), "is_pivot", "c").join(pivots, ["region", "part"]).filter("p <> x and (not is_pivot or p < x)")
+        met = scratch.keep(with_distance(pairs.select("region", "p", "x", "is_pivot", "c"), sets, percent), f"met-deep{level}")
+        links.append(met.filter("link").select("a", "b"))
+        found = cells(met.filter("not is_pivot"), 1.0, 0.0, eps)
+        # by chance a region may draw no pivot: it is compared as it is
+        done.append(sized.join(met.select("region").distinct(), "region", "left_anti").select("region", "node", "d"))
+        rows = found.join(deep, "region").select(F.xxhash64("region", "p", F.lit(f"split{level}")).alias("region"), "node", "d", F.col("c").alias("parent"))
+        rows, level = scratch.keep(rows, f"split{level}"), level + 1
 
 
 def linked_in_blocks(x: list[np.ndarray], y: list[np.ndarray] | None, apart: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -234,15 +300,18 @@ def meet_in_blocks(rest: DataFrame, sets: DataFrame, percent: int, scratch: Scra
     """a, b: the links among rows that still have to meet.
 
     Each node has one home, the largest of its regions, cut into blocks of bounded size; two blocks meet once if
-    any region has members of both, so a pair of nodes is compared once however many regions it shares.
+    any region has members of both, so a pair of nodes is compared once however many regions it shares.  A class
+    with many members at home has blocks of its own, which need not meet each other.
     """
-    sized = rest.withColumn("c", F.count("*").over(Window.partitionBy("key")))
-    home = sized.groupBy("node", "n", "label").agg(F.max(F.struct("c", "key")).alias("h"))
-    block = F.xxhash64("h.key", F.pmod(F.xxhash64("node"), F.ceil(F.col("h.c") / BLOCK)))
-    members = scratch.keep(home.select("node", "label", block.alias("block")), "members")
-    spots = rest.select("key", "node").join(members.select("node", "block"), "node").select("key", "block").distinct()
-    x, y = spots.select("key", F.col("block").alias("x")), spots.select("key", F.col("block").alias("y"))
-    meets = x.join(y, "key").filter("x <= y").select("x", "y").distinct()
+    sized = rest.join(rest.groupBy("region").agg(F.count("*").alias("c")), "region")
+    home = sized.groupBy("node", "label").agg(F.max(F.struct("c", "region")).alias("h")).select("node", "label", "h.*")
+    home = home.join(home.groupBy("region", "label").agg(F.count("*").alias("k")), ["region", "label"])
+    many, place = F.col("k") >= BLOCK, F.xxhash64("node")
+    block = F.when(many, F.xxhash64("region", "label", F.pmod(place, F.ceil(F.col("k") / BLOCK)))).otherwise(F.xxhash64("region", F.pmod(place, F.ceil(F.col("c") / BLOCK))))
+    members = scratch.keep(home.select("node", "label", block.alias("block"), F.when(many, F.col("label")).alias("of")), "members")
+    spots = rest.select("region", "node").join(members.select("node", "block", "of"), "node").select("region", "block", "of").distinct()
+    x, y = spots.select("region", F.col("block").alias("x"), F.col("of").alias("xof")), spots.select("region", F.col("block").alias("y"), F.col("of").alias("yof"))
+    meets = x.join(y, "region").filter("x <= y and coalesce(xof <> yof, true)").select("x", "y").distinct()
     left = meets.join(members.withColumnRenamed("block", "x"), "x").select("x", "y", "node", "label", F.lit(0).alias("side"))
     right = meets.filter("x < y").join(members.withColumnRenamed("block", "y"), "y").select("x", "y", "node", "label", F.lit(1).alias("side"))
     placed = scratch.keep(left.unionByName(right), "placed")
@@ -264,25 +333,36 @@ def meet_in_blocks(rest: DataFrame, sets: DataFrame, percent: int, scratch: Scra
     return whole.groupBy("task").applyInPandas(meet, "a long, b long")
 
 
-def join_regions(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b: links enough to connect all that links connect. ``rows``: node, n, key."""
-    links = None
-    for step in range(ROUNDS):
-        found, rest = meet_pivots(rows, sets, percent, step, scratch)
-        links = found if links is None else links.unionByName(found)
-        rows = rest.select("node", "n", "key")
-    return links.unionByName(scratch.keep(meet_in_blocks(rest, sets, percent, scratch), "blocks"))
+def all_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def join_regions(index: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: links enough to connect all that links connect."""
+    eps = (100 - percent) / 100
+    links, regions = split_root(index, sets, percent, scratch)
+    if not regions:
+        return all_of(links) if links else index.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    label = scratch.keep(components(all_of(links), scratch, "root"), "root")
+    open_ = scratch.keep(undecided(all_of(regions), label, eps).drop("label"), "open")
+    deeper, rest = split_regions(open_, sets, percent, scratch)
+    if deeper:
+        label = scratch.keep(components(all_of(links + deeper), scratch, "deeper"), "deeper")
+    rest = scratch.keep(undecided(all_of(rest), label, eps), "rest")
+    return all_of([*links, *deeper, scratch.keep(meet_in_blocks(rest, sets, percent, scratch), "blocks")])
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    """doc_id, n_shingles, component_id for every row of ``docs``. percent: 67 at least, as distances of 3 EPS must be below 1."""
+    if percent < 67:
+        raise ValueError("similarities below 67 percent are not supported")
     shown = scratch.keep(show(docs, words, percent), "shown")
     nodes = scratch.keep(candidates(shown), "candidates")
     # texts meet the candidates' ids by a shuffle at every size: the ids are a share of the corpus, nothing to broadcast
     some = docs.select(null_safe(F.col("doc_id")).alias("__id"), "text").hint("merge").join(nodes.select(null_safe(F.col("doc_id")).alias("__id")).distinct(), "__id", "left_semi")
     sets = scratch.keep(whole_sets(some, words).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    rows = scratch.keep(rarest(sets, percent), "rows")
-    links = join_regions(rows, sets, percent, scratch)
+    index = scratch.keep(rarest(sets, percent), "index")
+    links = join_regions(index, sets, percent, scratch)
     label = scratch.keep(components(links, scratch, "all"), "labels")
     names = scratch.keep(shown.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "names")
     joined = names.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -465,12 +465,12 @@ def near_copies(n, base, rng):
     return out
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_jaccard_equals_brute_force(spark, monkeypatch, rounds):
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
+@pytest.mark.parametrize("pivots, block", [(2, 8), (4, 1000), (10_000, 8)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, pivots, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "COLUMNS", 64)
-    monkeypatch.setattr(jaccard, "PIVOTS", rounds)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "POSTINGS_A_TASK", 20)
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(3000)]
     passage = " ".join(rng.choice(words, 60))
