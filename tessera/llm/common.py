@@ -57,6 +57,12 @@ def null_safe(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), c.cast("string")))
 
 
+def row_sum(df: DataFrame) -> Column:
+    """A checksum of whole rows, to tell apart rows with equal or null ids. Null and an absent value differ; maps are left out."""
+    hashable = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    return F.xxhash64(*[x for c in hashable for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+
+
 def arrow_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     """``df``, to be handed to Python in batches small enough for very long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

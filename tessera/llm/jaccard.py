@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, null_safe, table
+from .common import Scratch, arrow_batches, null_safe, row_sum, table
 from .components import components
 
 WORDS = 4
@@ -93,7 +93,7 @@ def prefix(n: int, percent: int) -> int:
 
 
 def show(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, node, need, keys: the shown shingles; a node with partners shares ``need`` of the first ``low`` of them."""
+    """doc_id, row_sum, n, node, need, keys: the shown shingles; a node with partners shares ``need`` of the first ``low`` of them."""
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +108,11 @@ def show(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 for column, v in zip(out, (n, node, low - (100 - percent) * n // 100, low, keys), strict=True):
                     column.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, out, types)], ["doc_id", "n", "node", "need", "low", "keys"])
+            names = ["doc_id", "row_sum", "n", "node", "need", "low", "keys"]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_sum"), *map(pa.array, out, types)], names)
 
-    return arrow_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {id_type}, n long, node long, need long, low long, keys array<long>")
+    rows = docs.select("doc_id", "text", row_sum(docs).alias("row_sum"))
+    return arrow_batches(rows).mapInArrow(run, f"doc_id {id_type}, row_sum long, n long, node long, need long, low long, keys array<long>")
 
 
 def whole_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -337,46 +339,62 @@ def all_of(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def join_regions(index: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b: links enough to connect all that links connect."""
+def classes(index: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """node, label: of all nodes with links the smallest node that links connect them with."""
     eps = (100 - percent) / 100
     links, regions = split_root(index, sets, percent, scratch)
-    if not regions:
-        return all_of(links) if links else index.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    if not links:
+        return index.select("node", F.col("node").alias("label")).limit(0)
     label = scratch.keep(components(all_of(links), scratch, "root"), "root")
-    open_ = scratch.keep(undecided(all_of(regions), label, eps).drop("label"), "open")
-    deeper, rest = split_regions(open_, sets, percent, scratch)
+    if not regions:
+        return label
+    rest = scratch.keep(undecided(all_of(regions), label, eps), "open")
+    if rest.isEmpty():
+        return label
+    deeper, parts = split_regions(rest.drop("label"), sets, percent, scratch)
     if deeper:
         label = scratch.keep(components(all_of(links + deeper), scratch, "deeper"), "deeper")
-    rest = scratch.keep(undecided(all_of(rest), label, eps), "rest")
-    return all_of([*links, *deeper, scratch.keep(meet_in_blocks(rest, sets, percent, scratch), "blocks")])
+        rest = scratch.keep(undecided(all_of(parts), label, eps), "rest")
+    found = scratch.keep(meet_in_blocks(rest, sets, percent, scratch), "blocks")
+    return label if found.isEmpty() else scratch.keep(components(all_of([*links, *deeper, found]), scratch, "all"), "all")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``. percent: 67 at least, as distances of 3 EPS must be below 1."""
+def labelled(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(shown: a row a document; node, label of every node)."""
     if percent < 67:
-        raise ValueError("similarities below 67 percent are not supported")
+        raise ValueError("similarities below 67 percent are not supported: distances of 3 EPS must be below 1")
     shown = scratch.keep(show(docs, words, percent), "shown")
     nodes = scratch.keep(candidates(shown), "candidates")
     # texts meet the candidates' ids by a shuffle at every size: the ids are a share of the corpus, nothing to broadcast
     some = docs.select(null_safe(F.col("doc_id")).alias("__id"), "text").hint("merge").join(nodes.select(null_safe(F.col("doc_id")).alias("__id")).distinct(), "__id", "left_semi")
     sets = scratch.keep(whole_sets(some, words).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    index = scratch.keep(rarest(sets, percent), "index")
-    links = join_regions(index, sets, percent, scratch)
-    label = scratch.keep(components(links, scratch, "all"), "labels")
-    names = scratch.keep(shown.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "names")
-    joined = names.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = names.join(joined, "label").select("node", "component_id")
+    label = classes(scratch.keep(rarest(sets, percent), "index"), sets, percent, scratch)
+    every = shown.filter("n > 0").select("node").distinct().join(label, "node", "left")
+    return shown, every.withColumn("label", F.coalesce("label", "node"))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``. percent: 67 at least."""
+    shown, label = labelled(docs, scratch, words, percent)
+    names = scratch.keep(shown.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(label, "node"), "names")
+    named = names.join(names.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     out = shown.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without near copies: of each class the row with the smallest id; rows equal in all columns are one."""
-    found = near_duplicates(docs, scratch, words, percent)
-    stay = scratch.keep(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(null_safe(F.col("doc_id")).alias("__id")).distinct(), "stay")
-    kept = docs.withColumn("__id", null_safe(F.col("doc_id"))).join(stay, "__id", "left_semi")
-    return kept.dropDuplicates().select(*docs.columns)
+    """``docs`` without near copies: one row of each class, that with the smallest id (null last; of equal ids that with the smallest
+    checksum of the whole row; of equal rows any). Rows without words are in no class: all stay."""
+    shown, label = labelled(docs, scratch, words, percent)
+    row = shown.filter("n > 0").groupBy("node", "doc_id", "row_sum").agg(F.count("*").alias("equal"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_sum", "equal"))
+    stay = row.join(label, "node").groupBy("label").agg(first.alias("s")).select("s.doc_id", "s.row_sum", "s.equal")
+    none = shown.filter("n = 0").select("doc_id", "row_sum", F.lit(1).cast("long").alias("equal")).distinct()
+    stay = scratch.keep(stay.unionByName(none).select(null_safe(F.col("doc_id")).alias("__id"), F.col("row_sum").alias("__sum"), F.col("equal").alias("__equal")), "stay")
+    keyed = docs.withColumns({"__id": null_safe(F.col("doc_id")), "__sum": row_sum(docs)})
+    kept = keyed.join(stay, ["__id", "__sum"])
+    repeated = kept.filter("__equal > 1").dropDuplicates(["__id", "__sum"])
+    return kept.filter("__equal = 1").unionByName(repeated).select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
