@@ -45,37 +45,33 @@ from .components import components
 
 WORDS = 4
 PERCENT = 85
-PIVOTS, GROWTH = 16, 16
+PIVOTS, GROWTH = 32, 32
 POSTINGS_A_TASK = 4096
 BLOCK, ROWS_A_TASK, COLUMNS = 512, 2000, 4096
-MAX_WORDS_KNOWN = 500_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_WORDS_KNOWN:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-HASHES = WordHashes()
-
-
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles."""
-    parts = (text or "").encode().lower().split()  # of bytes: A-Z only, and the six ASCII blanks
-    if not parts:
-        return np.empty(0, np.uint64)
-    a = np.fromiter(map(HASHES.__getitem__, parts), np.uint64, len(parts))
-    k = min(words, len(parts))
-    n = len(a) - k + 1
+def rolled(a: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of the windows of k word hashes."""
+    n = max(0, len(a) - k + 1)
     h = a[:n] * MIX[0] + np.uint64(k)
     for i in range(1, k):
         h = (h ^ (h >> np.uint64(29))) * MIX[1] + a[i : n + i]
     h = (h ^ (h >> np.uint64(32))) * MIX[2]
-    return np.unique(h ^ (h >> np.uint64(29)))
+    return h ^ (h >> np.uint64(29))
+
+
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles. Every distinct word of the batch is hashed once."""
+    parts = [(t or "").encode().lower().split() for t in texts.to_pylist()]  # of bytes: A-Z only, and the six ASCII blanks
+    ends = np.cumsum([0, *map(len, parts)])
+    coded = pa.array([w for p in parts for w in p], pa.large_binary()).dictionary_encode()
+    known = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    hashed = known[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.uint64)
+    whole, out = rolled(hashed, words), []
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        out.append(np.unique(whole[lo : hi - words + 1] if hi - lo >= words else rolled(hashed[lo:hi], int(hi - lo)) if hi > lo else whole[:0]))
+    return out
 
 
 def share_shown(n: int) -> float:
@@ -92,24 +88,29 @@ def prefix(n: int, percent: int) -> int:
     return n + (percent * n) // -100 + 1
 
 
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *(a.view(np.int64) for a in arrays)])))
+
+
 def show(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, row_sum, n, node, need, keys: the shown shingles; a node with partners shares ``need`` of the first ``low`` of them."""
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text in b.column("text").to_pylist():
-                h = shingles(text, words)
+            out: list[list] = [[], [], [], []]
+            shown = []
+            for h in shingle_sets(b.column("text"), words):
                 n = len(h)
                 low = below(h, share_shown(100 * n // percent + 1))
                 keys = h[: max(below(h, share_shown(n)), prefix(n, percent))].view(np.int64)
                 node = np.uint64(xxhash.xxh3_128_intdigest(h.tobytes()) & (2**64 - 1)).view(np.int64) if n else None
-                for column, v in zip(out, (n, node, low - (100 - percent) * n // 100, low, keys), strict=True):
+                shown.append(keys)
+                for column, v in zip(out, (n, node, low - (100 - percent) * n // 100, low), strict=True):
                     column.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             names = ["doc_id", "row_sum", "n", "node", "need", "low", "keys"]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_sum"), *map(pa.array, out, types)], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_sum"), *(pa.array(c, pa.int64()) for c in out), lists_of(shown)], names)
 
     rows = docs.select("doc_id", "text", row_sum(docs).alias("row_sum"))
     return arrow_batches(rows).mapInArrow(run, f"doc_id {id_type}, row_sum long, n long, node long, need long, low long, keys array<long>")
@@ -120,10 +121,9 @@ def whole_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [h for h in (shingles(t, words) for t in b.column("text").to_pylist()) if len(h)]
+            sets = [h for h in shingle_sets(b.column("text"), words) if len(h)]
             nodes = [np.uint64(xxhash.xxh3_128_intdigest(h.tobytes()) & (2**64 - 1)).view(np.int64) for h in sets]
-            lists = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), lists], ["node", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), lists_of(sets)], ["node", "n", "shingles"])
 
     return arrow_batches(docs.select("text")).mapInArrow(run, "node long, n long, shingles array<long>")
 
@@ -152,12 +152,22 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     return ranked.select("node", "n", "close", F.posexplode("order").alias("pos", "x")).select("node", "n", F.col("x.key").alias("key"), F.col("x.df").alias("df"), (F.col("pos") < F.col("close")).alias("near"))
 
 
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the size of the intersection and of the union."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return both.select("a", "b", "i", (F.size("sa") + F.size("sb") - F.col("i")).cast("long").alias("u"))
+def with_distance(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (p, x, maybe more) with their distance d and ``link``."""
+    one = sets.select(F.col("node").alias("p"), F.col("shingles").alias("sp"))
+    two = sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx"))
+    met = pairs.join(one, "p").join(two, "x").withColumn("i", F.size(F.array_intersect("sp", "sx")).cast("long"))
+    met = met.withColumn("u", F.size("sp") + F.size("sx") - F.col("i"))
+    return met.select(*pairs.columns, (1 - F.col("i") / F.col("u")).alias("d"), (100 * F.col("i") >= percent * F.col("u")).alias("link"))
+
+
+def near_labels(links: DataFrame) -> DataFrame:
+    """node, label: some node that links connect it with; of the members of a pivot, and of pivots that share members, mostly one."""
+    ways = links.select("p", "x").union(links.select("p", F.col("p").alias("x")))
+    for _ in range(2):
+        least = ways.groupBy("x").agg(F.min("p").alias("to"))
+        ways = ways.join(least, "x").groupBy("p").agg(F.min("to").alias("hub")).join(ways, "p").select(F.col("hub").alias("p"), "x")
+    return ways.groupBy(F.col("x").alias("node")).agg(F.min("p").alias("label"))
 
 
 def chance(seed: str | int) -> Column:
@@ -165,21 +175,15 @@ def chance(seed: str | int) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def root_pairs(index: DataFrame, left: DataFrame, level: int, share: float, percent: int) -> DataFrame:
-    """p, x: each pivot with the nodes left that may be within 3 EPS of it (of two pivots: EPS). Frequent shingles are split over tasks."""
-    here = index.join(left, "node", "left_semi").withColumn("parts", F.ceil(F.col("df") / POSTINGS_A_TASK))
+def root_pairs(here: DataFrame, level: int, share: float, percent: int) -> DataFrame:
+    """p, x, xp (x is a pivot too): each pivot with the nodes of ``here`` that may be within 3 EPS of it (of two pivots: EPS), from their
+    rarest shingles. Frequent shingles are split over tasks."""
+    here = here.withColumn("parts", F.ceil(F.col("df") / POSTINGS_A_TASK))
     is_pivot = chance(level) < share
     rows = here.select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("x"), F.col("n").alias("xn"), F.col("near").alias("xnear"), is_pivot.alias("xp"))
     pivots = here.filter(is_pivot).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("near").alias("pnear"))
     both = pivots.join(rows, ["key", "part"]).filter("p <> x and (not xp or (p < x and pnear and xnear))")
-    return both.filter(100 * F.least("pn", "xn") >= (3 * percent - 200) * F.greatest("pn", "xn")).select("p", "x").distinct()
-
-
-def with_distance(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (p, x, maybe more) with their distance d and ``link``."""
-    met = distances(pairs.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct(), sets)
-    met = met.select("a", "b", (1 - F.col("i") / F.col("u")).alias("d"), (100 * F.col("i") >= percent * F.col("u")).alias("link"))
-    return pairs.withColumns({"a": F.least("p", "x"), "b": F.greatest("p", "x")}).join(met, ["a", "b"])
+    return both.filter(100 * F.least("pn", "xn") >= (3 * percent - 200) * F.greatest("pn", "xn")).select("p", "x", "xp").distinct()
 
 
 def cells(met: DataFrame, within: float, window: float, eps: float) -> DataFrame:
@@ -198,21 +202,20 @@ def cells(met: DataFrame, within: float, window: float, eps: float) -> DataFrame
 def split_root(index: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
     """(links found, regions as tables of region, node, d): all links between candidates are found, or have both ends in a region."""
     eps, links, regions = (100 - percent) / 100, [], []
-    left, level = scratch.keep(index.select("node").distinct(), "left0"), 0
-    while n := left.count():
-        share = min(1.0, PIVOTS * GROWTH**level / n)
-        pairs = scratch.keep(root_pairs(index, left, level, share, percent), f"pairs{level}")
-        met = scratch.keep(with_distance(pairs, sets, percent).filter(F.col("d") <= 3 * eps + 1e-9), f"met{level}")
-        links.append(met.filter("link").select("a", "b"))
+    here, level = index, 0
+    while n := here.select("node").distinct().count():
+        share = min(1.0, PIVOTS * GROWTH**level / n) if n > BLOCK else 1.0
+        near = with_distance(root_pairs(here, level, share, percent), sets, percent).filter(F.col("d") <= 3 * eps + 1e-9)
+        met = scratch.keep(near, f"met{level}")
+        links.append(met.filter("link").select("p", "x"))
         if share == 1:  # all are pivots: all have met
             break
-        pivots = left.filter(chance(level) < share)
-        members = met.join(pivots.withColumnRenamed("node", "x"), "x", "left_anti").withColumn("region", F.lit(0).cast("long"))
+        members = met.filter("not xp").withColumn("region", F.lit(0).cast("long"))
         found = cells(members, 2 * eps + 1e-9, 3 * eps + 1e-9, eps)
         regions.append(scratch.keep(found.select(F.xxhash64("p", F.lit(level)).alias("region"), "node", "d"), f"regions{level}"))
-        gone = members.filter(F.col("d") <= 2 * eps + 1e-9).select(F.col("x").alias("node")).union(pivots)
+        gone = members.filter(F.col("d") <= 2 * eps + 1e-9).select(F.col("x").alias("node")).distinct()
+        here = scratch.keep(here.filter(chance(level) >= share).join(gone, "node", "left_anti"), f"left{level}")
         level += 1
-        left = scratch.keep(left.join(gone, "node", "left_anti"), f"left{level}")
     return links, regions
 
 
@@ -246,7 +249,7 @@ def split_regions(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scrat
         pivots = sized.filter("is_pivot").select("region", F.col("node").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         pairs = sized.select("region", "part", F.col("node").alias("x"), "is_pivot", "c").join(pivots, ["region", "part"]).filter("p <> x and (not is_pivot or p < x)")
         met = scratch.keep(with_distance(pairs.select("region", "p", "x", "is_pivot", "c"), sets, percent), f"met-deep{level}")
-        links.append(met.filter("link").select("a", "b"))
+        links.append(met.filter("link").select("p", "x"))
         found = cells(met.filter("not is_pivot"), 1.0, 0.0, eps)
         # by chance a region may draw no pivot: it is compared as it is
         done.append(sized.join(met.select("region").distinct(), "region", "left_anti").select("region", "node", "d"))
@@ -343,20 +346,19 @@ def classes(index: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
     """node, label: of all nodes with links the smallest node that links connect them with."""
     eps = (100 - percent) / 100
     links, regions = split_root(index, sets, percent, scratch)
+    if regions:
+        label = scratch.keep(near_labels(all_of(links)), "near")
+        rest = scratch.keep(undecided(all_of(regions), label, eps), "open")
+        if not rest.isEmpty():
+            deeper, parts = split_regions(rest.drop("label"), sets, percent, scratch)
+            if deeper:
+                links += deeper
+                label = scratch.keep(near_labels(all_of(links)), "near-deep")
+                rest = scratch.keep(undecided(all_of(parts), label, eps), "rest")
+            links.append(scratch.keep(meet_in_blocks(rest, sets, percent, scratch), "blocks").toDF("p", "x"))
     if not links:
         return index.select("node", F.col("node").alias("label")).limit(0)
-    label = scratch.keep(components(all_of(links), scratch, "root"), "root")
-    if not regions:
-        return label
-    rest = scratch.keep(undecided(all_of(regions), label, eps), "open")
-    if rest.isEmpty():
-        return label
-    deeper, parts = split_regions(rest.drop("label"), sets, percent, scratch)
-    if deeper:
-        label = scratch.keep(components(all_of(links + deeper), scratch, "deeper"), "deeper")
-        rest = scratch.keep(undecided(all_of(parts), label, eps), "rest")
-    found = scratch.keep(meet_in_blocks(rest, sets, percent, scratch), "blocks")
-    return label if found.isEmpty() else scratch.keep(components(all_of([*links, *deeper, found]), scratch, "all"), "all")
+    return scratch.keep(components(all_of(links).toDF("a", "b"), scratch, "all"), "all")
 
 
 def labelled(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
