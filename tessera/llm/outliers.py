@@ -6,14 +6,14 @@ repeated lines and repeated words (all per word or character, so that length alo
 language and source has its own location and covariance by minimum covariance determinant: from two
 deterministic starts (medians and quartiles; mean and covariance) concentration steps keep the closest
 three quarters of the group's rows, the start with the smaller determinant wins, and one reweighting step
-follows.  Rows beyond a far quantile of the chi-square distribution are rejected.  Groups with few rows use
-their language's estimate, or that of all rows; these are made from all passing rows of the language or of the
-table, in the same aggregates.
+follows.  Each estimate is shrunk towards that of its language, and that towards all rows', with a weight of
+PSEUDO_ROWS / (rows + PSEUDO_ROWS): one formula for groups of every size, in which a lone row is judged by its
+language.  Rows beyond a far quantile of the chi-square distribution are rejected.
 
 Scale: all estimates are sums per group, merged on the map side, so a source with a third of the rows costs
-what any other costs.  The closest three quarters are found from a histogram of log distances (bounded bins
-a group), not by sorting a group.  Covariances get a floor, as rates that are zero in nearly all texts would
-make them singular.
+what any other costs; rows meet the estimates of their groups by a salted key.  The closest three quarters are
+found from a histogram of log distances (bounded bins a group), not by sorting a group.  Covariances get a floor,
+as rates that are zero in nearly all texts would make them singular.
 
 Windows of words are compared by 64-bit hashes of their words within one text.
 
@@ -35,7 +35,8 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
 #: The vector: name and floor of its standard deviation.
 DIMS = (("v_length", 0.04), ("v_symbols", 0.1), ("v_lines", 0.2), ("v_repeats", 0.2))
-MIN_GROUP = 60
+PSEUDO_ROWS = 15
+SALTS = 32
 SHARE = 0.75
 STEPS = 3
 BINS_AN_OCTAVE = 32
@@ -81,33 +82,49 @@ def chi_square(p: float, d: int) -> float:
     return d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(p) * math.sqrt(2 / (9 * d))) ** 3
 
 
-def with_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Adds ``g``, whose estimate judges the row: that of (language, source), or the language, or all, whichever has rows enough;
-    and ``part_of``: all groups that judge any row and whose estimate the row is part of."""
-    n = rows.groupBy("lkey", "skey").agg(F.count("*").alias("n"))
-    n = n.withColumn("of_lang", F.sum("n").over(Window.partitionBy("lkey")))
-    large, of_lang = F.col("n") >= MIN_GROUP, F.col("of_lang") >= MIN_GROUP
-    own, every = F.concat_ws("\x1f", "lkey", "skey"), F.lit("all")
-    n = n.withColumn("g", F.when(large, own).when(of_lang, F.col("lkey")).otherwise(every))
-    n = scratch.keep(n.withColumn("by_lang", F.max(~large & of_lang).over(Window.partitionBy("lkey"))), "groups")
-    by_all = F.lit(bool(n.filter(F.col("g") == every).limit(1).count()))
-    parts = F.array_compact(F.array(F.when(large, own), F.when(F.col("by_lang"), F.col("lkey")), F.when(by_all, every)))
-    return rows.join(n.select("lkey", "skey", "g", parts.alias("part_of")), ["lkey", "skey"])
+def own_group() -> Column:
+    return F.struct(F.col("lkey").alias("lkey"), F.col("skey").alias("skey"))
 
 
-def factored(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """From n, s_i, p_i_j to means m_i, the Cholesky factor l_i_j of the floored covariance, and log_det."""
+def groups_of() -> Column:
+    """The groups a row is part of: its language and source, its language, all. Keys are never empty, so empty means any."""
+    any_, lang = F.lit("").alias("skey"), F.col("lkey").alias("lkey")
+    return F.array(own_group(), F.struct(lang, any_), F.struct(F.lit("").alias("lkey"), any_))
+
+
+def salted(df: DataFrame) -> DataFrame:
+    """A small table with a copy of each row a salt, for joins with rows of hot groups."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def centred(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """From n, s_i, p_i_j to n, means m_i and covariances c_i_j."""
+    d, n = range(len(DIMS)), F.col("n").cast("double")
+    mean = sums.select(*keys, "n", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in d], *[(F.col(f"p{i}_{j}") / n).alias(f"p{i}_{j}") for i in d for j in range(i + 1)])
+    cov = [(F.col(f"p{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}_{j}") for i in d for j in range(i + 1)]
+    return mean.select(*keys, "n", *[f"m{i}" for i in d], *cov)
+
+
+def factored(est: DataFrame, keys: list[str]) -> DataFrame:
+    """From means and covariances to means m_i, the Cholesky factor l_i_j of the floored covariance, and log_det."""
     d = range(len(DIMS))
-    n = F.col("n").cast("double")
-    est = sums.select(*keys, "n", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in d], *[f"p{i}_{j}" for i in d for j in range(i + 1)])
     for i in d:
         for j in range(i + 1):
-            c = F.greatest(F.lit(0.0), F.col(f"p{i}_{i}") / n - F.col(f"m{i}") ** 2) + DIMS[i][1] ** 2 if i == j else F.col(f"p{i}_{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")
+            c = F.greatest(F.lit(0.0), F.col(f"c{i}_{i}")) + DIMS[i][1] ** 2 if i == j else F.col(f"c{i}_{j}")
             for k in range(j):
                 c = c - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             est = est.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(c, F.lit(DIMS[i][1] ** 2 / 4))) if i == j else c / F.col(f"l{j}_{j}"))
     log_det = sum((F.log(f"l{i}_{i}") for i in d), F.lit(0.0)) * 2
-    return est.select(*keys, "n", *[f"m{i}" for i in d], *[f"l{i}_{j}" for i in d for j in range(i + 1)], log_det.alias("log_det"))
+    return est.select(*keys, *[f"m{i}" for i in d], *[f"l{i}_{j}" for i in d for j in range(i + 1)], log_det.alias("log_det"))
+
+
+def shrunk(est: DataFrame, towards: DataFrame, on: list[str]) -> DataFrame:
+    """``est`` with means and covariances moved towards those of the group above."""
+    values = [c for c in est.columns if c[:1] in "mc" and c[1:2].isdigit()]
+    above = towards.select(*on, *[F.col(c).alias(f"above_{c}") for c in values])
+    w = F.col("n") / (F.col("n") + PSEUDO_ROWS)
+    both = est.join(above, on) if on else est.join(above, F.lit(True))
+    return both.select(*[c for c in est.columns if c not in values], *[(w * F.col(c) + (1 - w) * F.col(f"above_{c}")).alias(c) for c in values])
 
 
 def moments() -> list[Column]:
@@ -136,40 +153,45 @@ def starts(rows: DataFrame) -> DataFrame:
     made = [(F.col(v)[1] * n).alias(f"s{i}") for i, v in enumerate(names)]
     made += [((F.col(names[i])[1] * F.col(names[j])[1] + (spread(names[i]) ** 2 if i == j else 0.0)) * n).alias(f"p{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
     robust = quartiles.select("g", F.lit(0).alias("start"), "n", *made)
-    return factored(robust.unionByName(rows.groupBy("g").agg(*moments()).withColumn("start", F.lit(1))), ["g", "start"])
+    return factored(centred(robust.unionByName(rows.groupBy("g").agg(*moments()).withColumn("start", F.lit(1))), ["g", "start"]), ["g", "start"])
 
 
 def concentrate(rows: DataFrame, est: DataFrame) -> DataFrame:
     """One concentration step: the estimate of the closest rows of each group and start."""
-    near = rows.join(est, "g").withColumn("bin", F.floor(F.log2(distance() + 1e-9) * BINS_AN_OCTAVE))
-    bins = near.groupBy("g", "start", "bin").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy("g", "start").orderBy("bin"))
-    all_ = F.sum("k").over(Window.partitionBy("g", "start"))
-    cut = bins.withColumn("upto", upto).withColumn("all", all_).filter(F.col("upto") >= F.ceil(SHARE * F.col("all"))).groupBy("g", "start").agg(F.min("bin").alias("cut"))
-    kept = near.join(cut, ["g", "start"]).filter(F.col("bin") <= F.col("cut"))
-    return factored(kept.groupBy("g", "start").agg(*moments()), ["g", "start"])
+    near = rows.join(salted(est), ["g", "salt"]).withColumn("bin", F.floor(F.log2(distance() + 1e-9) * BINS_AN_OCTAVE))
+    # sums a bin, so that the closest rows' sums need no second look at the rows
+    bins = near.groupBy("g", "start", "bin").agg(*moments())
+    upto = F.sum("n").over(Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    all_ = F.sum("n").over(Window.partitionBy("g", "start"))
+    kept = bins.withColumn("upto", F.coalesce(upto, F.lit(0))).withColumn("all", all_).filter(F.col("upto") < F.ceil(SHARE * F.col("all")))
+    sums = [c for c in bins.columns if c not in ("g", "start", "bin")]
+    return factored(centred(kept.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in sums]), ["g", "start"]), ["g", "start"])
 
 
 def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """A row a group: the reweighted minimum-covariance-determinant estimate."""
+    """lkey, skey and the reweighted minimum-covariance-determinant estimate of each language and source, shrunk."""
     est = scratch.keep(starts(rows), "est0")
     for step in range(STEPS):
         est = scratch.keep(concentrate(rows, est), f"est{step + 1}")
-    best = est.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("log_det", "start"))).filter("rn = 1").drop("rn", "start", "n", "log_det")
+    best = est.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("log_det", "start"))).filter("rn = 1").drop("rn", "start", "log_det")
     d = len(DIMS)
-    shrink = SHARE / 0.56  # consistency of the covariance of the closest 75 % in four dimensions
-    inliers = rows.join(best, "g").filter(distance(shrink) <= chi_square(0.975, d))
-    return scratch.keep(factored(inliers.groupBy("g").agg(*moments()), ["g"]).drop("n", "log_det"), "final")
+    widened = SHARE / 0.56  # consistency of the covariance of the closest 75 % in four dimensions
+    inliers = rows.join(salted(best), ["g", "salt"]).filter(distance(widened) <= chi_square(0.975, d))
+    final = scratch.keep(centred(inliers.groupBy("g").agg(*moments()), ["g"]).select("g.lkey", "g.skey", "*").drop("g"), "inliers")
+    every = final.filter("lkey = ''")
+    lang = shrunk(final.filter("lkey <> '' and skey = ''"), every, [])
+    own = shrunk(final.filter("skey <> ''"), lang, ["lkey"])
+    return scratch.keep(factored(own, ["lkey", "skey"]).drop("log_det"), "final")
 
 
 def judge(docs: DataFrame, keep: list[str], scratch: Scratch) -> DataFrame:
     """``keep``, the base statistics, base_failed and kept for every row."""
     docs = docs.withColumns({"lkey": null_safe(F.col("lang")), "skey": null_safe(F.col("source"))})
     known = scratch.keep(base_statistics(docs, [*keep, "lkey", "skey"]), "known")
-    passed = with_groups(known.filter(~F.col("base_failed")), scratch)
-    rows = scratch.keep(passed.select(F.explode("part_of").alias("g"), *[c.alias(n) for n, c in vectors().items()]), "vectors")
+    passed = known.filter(~F.col("base_failed")).withColumns(vectors()).withColumn("salt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols"), F.lit(SALTS)).cast("int"))
+    rows = scratch.keep(passed.select(F.explode(groups_of()).alias("g"), "salt", *vectors()), "vectors")
     est = robust_estimates(rows, scratch)
-    verdicts = passed.withColumns(vectors()).join(est, "g", "left")
+    verdicts = passed.join(salted(est), ["lkey", "skey", "salt"], "left")
     kept = F.coalesce(distance() <= chi_square(1 - REJECT_AT, len(DIMS)), F.lit(True))
     columns = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return verdicts.select(*columns, kept.alias("kept")).unionByName(known.filter("base_failed").select(*columns, F.lit(False).alias("kept")))

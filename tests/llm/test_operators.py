@@ -233,6 +233,52 @@ def test_outlier_in_a_small_group_is_judged_by_the_next_level(spark):
     assert [found[i] for i in spam] == [(False, False)] * len(spam)
 
 
+def plain_verdicts(rows):
+    """The method in numpy: a row (lang, source, vector) -> kept."""
+    floor, d = np.diag([f**2 for _, f in outliers.DIMS]), len(outliers.DIMS)
+
+    def squared(x, m, c):
+        return np.sum(np.linalg.solve(np.linalg.cholesky(c + floor), (x - m).T) ** 2, axis=0)
+
+    def estimate(x):
+        found = []
+        q = np.array([[sorted(v)[max(0, int(np.ceil(p * len(v))) - 1)] for v in x.T] for p in (0.25, 0.5, 0.75)])
+        for m, c in ((q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2)), (x.mean(0), np.cov(x.T, bias=True))):
+            for _ in range(outliers.STEPS):
+                bins = np.floor(np.log2(squared(x, m, c) + 1e-9) * outliers.BINS_AN_OCTAVE)
+                near = x[bins <= np.sort(bins)[int(np.ceil(outliers.SHARE * len(x))) - 1]]
+                m, c = near.mean(0), np.cov(near.T, bias=True)
+            found.append((np.linalg.slogdet(c + floor)[1], len(found), m, c))
+        _, _, m, c = min(found, key=lambda f: f[:2])
+        near = x[squared(x, m, c) / (outliers.SHARE / 0.56) <= outliers.chi_square(0.975, d)]
+        return len(near), near.mean(0), np.cov(near.T, bias=True)
+
+    def shrink(own, above):
+        w = own[0] / (own[0] + outliers.PSEUDO_ROWS)
+        return own[0], w * own[1] + (1 - w) * above[1], w * own[2] + (1 - w) * above[2]
+
+    x = np.array([r[2] for r in rows])
+    pick = lambda f: estimate(x[[i for i, r in enumerate(rows) if f(r)]])
+    every, verdicts = pick(lambda r: True), [None] * len(rows)
+    for lang in {r[0] for r in rows}:
+        of_lang = shrink(pick(lambda r: r[0] == lang), every)
+        for source in {r[1] for r in rows if r[0] == lang}:
+            own = shrink(pick(lambda r: r[:2] == (lang, source)), of_lang)
+            for i, r in enumerate(rows):
+                if r[:2] == (lang, source):
+                    verdicts[i] = squared(x[[i]], *own[1:])[0]
+    return verdicts
+
+
+def test_outlier_verdicts_equal_plain_version(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    known = Scratch(spark, "t").keep(outliers.base_statistics(docs, ["doc_id", "lang", "source"]), "known").filter("not base_failed").select("doc_id", "lang", "source", *[c.alias(n) for n, c in outliers.vectors().items()]).collect()
+    found = {r["doc_id"]: r["kept"] for r in outliers.judge(docs, ["doc_id"], Scratch(spark, "t")).collect()}
+    distance, cut = plain_verdicts([(r["lang"], r["source"], tuple(r)[3:]) for r in known]), outliers.chi_square(1 - outliers.REJECT_AT, len(outliers.DIMS))
+    sure = [(found[r["doc_id"]], v <= cut) for r, v in zip(known, distance, strict=True) if abs(v / cut - 1) > 0.02]
+    assert len(sure) >= 0.99 * len(known) and all(a == b for a, b in sure) and not all(b for _, b in sure)
+
+
 def test_outlier_messy(spark, messy, none):
     found = outliers.judge(messy, ["doc_id"], Scratch(spark, "t")).collect()
     want = Counter((i, *base_of(t)) for i, t, *_ in MESSY)
