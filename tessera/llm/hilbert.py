@@ -9,6 +9,9 @@ Scale: one range-partitioned sort of narrow rows (no text).  The tie-break insid
 and the text's checksum, so a cell that holds a third of all rows is split by range partitioning like any
 other.  Positions are partition offsets (one row a partition) plus the place within the partition.
 
+Rows with equal texts have no place of their own to be together: the curve is that of the metadata, so copies
+with other languages or sources lie elsewhere.
+
 Edge cases: null text has size 1 and checksum 0; null metadata is the lowest cell; null ids tie and are
 ordered by checksum; equal rows keep adjacent slots; an empty table gives no rows; a table with fewer rows
 than shards leaves some shards empty; extra columns are carried by ``hilbert_positions`` callers' choice.
@@ -16,45 +19,46 @@ than shards leaves some shards empty; extra columns are carried by ``hilbert_pos
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, row_sum, table
 
 SHARDS = 8
 BITS = 4
-ORDER_BYTES = 6  # of a string, past the prefix that all its values share
 
 
-def order_keys(df: DataFrame, dims: list[str]) -> list[Column]:
-    """A long for each dimension that keeps its order: numbers as they are, strings by their first bytes past the common prefix."""
-    text = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
-    ends = df.agg(*[f(d).alias(f"{n}_{d}") for d in text for n, f in (("lo", F.min), ("hi", F.max))]).first() if text else None
-    keys = []
-    for d in dims:
-        if d in text:
-            skip = len(os.path.commonprefix([(ends[f"{n}_{d}"] or "").encode() for n in ("lo", "hi")]))
-            digits = F.rpad(F.substring(F.hex(F.col(d)), 2 * skip + 1, 2 * ORDER_BYTES), 2 * ORDER_BYTES, "0")
-            keys.append(F.conv(digits, 16, 10).cast("long"))
-        else:
-            keys.append(F.col(d).cast("double"))
-    return keys
-
-
-def cut_points(df: DataFrame, keys: list[str], bits: int) -> list[list[float]]:
-    """Equal-depth borders of each key: 2 ** bits - 1 numbers a dimension, whatever the table's size."""
+def string_borders(df: DataFrame, name: str, bits: int) -> list[str]:
+    """Equal-depth borders of a string column: the values that follow a share of i / 2 ** bits of the rows, from counts a value in
+    value order. Running sums are partition offsets and sums inside a partition, so values are sorted over all tasks."""
+    counts = df.groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n")).orderBy(F.col("v").asc_nulls_first())
+    counts = counts.withColumn("part", F.spark_partition_id())
+    inside = Window.partitionBy("part").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    parts = counts.groupBy("part").agg(F.sum("n").alias("k"))  # a row a partition
+    parts = parts.select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset"), F.sum("k").over(whole).alias("all"))
+    ranked = counts.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(parts), "part").withColumn("at", F.col("offset") + F.col("inner")).drop("inner")
+    share = lambda c: F.floor(c * 2**bits / F.col("all"))
+    crossed = ranked.filter(share(F.col("at")) < share(F.col("at") + F.col("n")))
+    return sorted(r["v"] for r in crossed.select("v").collect() if r["v"] is not None)  # 2 ** bits values at most
+
+
+def cut_points(df: DataFrame, dims: list[str], bits: int) -> list[list]:
+    """Equal-depth borders of each dimension: 2 ** bits numbers or strings at most, whatever the table's size."""
     shares = [i / 2**bits for i in range(1, 2**bits)]
-    row = df.agg(*[F.percentile_approx(k, shares, 10_000).alias(k) for k in keys]).first()
-    return [sorted(set(row[k] or [])) for k in keys]
+    text = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
+    numbers = [d for d in dims if d not in text]
+    row = df.agg(*[F.percentile_approx(F.col(d).cast("double"), shares, 10_000).alias(d) for d in numbers]).first() if numbers else {}
+    return [string_borders(df, d, bits) if d in text else sorted(set(row[d] or [])) for d in dims]
 
 
-def cell(key: Column, borders: list[float]) -> Column:
+def cell(key: Column, borders: list) -> Column:
+    """How many borders lie at or below a number, or below a string."""
     out = F.lit(0)
     for b in borders:
-        out = out + F.when(key >= F.lit(b), 1).otherwise(0)
+        out = out + F.when(key > F.lit(b) if isinstance(b, str) else key >= F.lit(b), 1).otherwise(0)
     return out
 
 
@@ -90,12 +94,10 @@ def curve_index(df: DataFrame, coords: list[str], bits: int, out: str) -> DataFr
 
 def hilbert_positions(df: DataFrame, dims: list[str], ties: list[str], scratch: Scratch, bits: int = BITS) -> DataFrame:
     """``df`` (narrow) with ``curve`` and ``position``: 0, 1, 2, ... along the curve, ties in the order of ``ties``."""
-    keys = order_keys(df, dims)
-    names = [f"__k{i}" for i in range(len(dims))]
-    keyed = scratch.keep(df.withColumns(dict(zip(names, keys, strict=True))), "keyed")
-    borders = cut_points(keyed, names, bits)
-    cells = keyed.withColumns({f"__c{i}": cell(F.col(n), b) for i, (n, b) in enumerate(zip(names, borders, strict=True))})
-    curved = curve_index(cells, [f"__c{i}" for i in range(len(dims))], bits, "curve").drop(*names, *[f"__c{i}" for i in range(len(dims))])
+    borders = cut_points(df, dims, bits)
+    key = lambda d: F.col(d) if isinstance(df.schema[d].dataType, T.StringType) else F.col(d).cast("double")
+    cells = df.withColumns({f"__c{i}": cell(key(d), b) for i, (d, b) in enumerate(zip(dims, borders, strict=True))})
+    curved = curve_index(cells, [f"__c{i}" for i in range(len(dims))], bits, "curve").drop(*[f"__c{i}" for i in range(len(dims))])
     placed = scratch.keep(curved.orderBy("curve", F.xxhash64(*ties), *[F.col(t).asc_nulls_first() for t in ties]).withColumn("__at", F.monotonically_increasing_id()), "sorted")
     placed = placed.withColumns({"__part": F.shiftright(F.col("__at"), 33), "__row": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,9 +113,19 @@ def cut_runs(placed: DataFrame, total: int, shards: int) -> DataFrame:
     return placed.withColumn("shard", shard).withColumn("slot", F.col("position") - start).withColumn("shard", F.col("shard").cast("int"))
 
 
-def write_shards(df: DataFrame, sharded: DataFrame, key: str, path: str, shards: int = SHARDS) -> None:
-    """Writes the rows of ``df`` to one folder a shard, in slot order, so that files carry tight statistics."""
-    rows = df.join(sharded.select(key, "shard", "slot"), key)
+def write_shards(df: DataFrame, dims: list[str], path: str, scratch: Scratch, shards: int = SHARDS) -> None:
+    """Writes the rows of ``df`` to one folder a shard, in the order of the curve, so that files carry tight statistics.
+
+    Rows are told apart by their checksum; equal rows lie side by side on the curve, so their places are one interval,
+    and one of them is written for each place.
+    """
+    keyed = df.withColumn("__sum", row_sum(df))
+    narrow = scratch.keep(keyed.select(*dims, "__sum"), "narrow")
+    places = cut_runs(hilbert_positions(narrow, dims, ["__sum"], scratch), narrow.count(), shards)
+    spans = places.groupBy("__sum").agg(F.min("position").alias("__lo"), F.max("position").alias("__hi"))
+    rows = keyed.dropDuplicates(["__sum"]).join(spans, "__sum")
+    rows = cut_runs(rows.withColumn("position", F.explode(F.sequence("__lo", "__hi"))), narrow.count(), shards)
+    rows = rows.drop("__sum", "__lo", "__hi", "position")
     rows.repartitionByRange(4 * shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

@@ -13,8 +13,8 @@ Hot sources: the running sum is cut into hash buckets of some thousand documents
 so a source that holds a third of the rows spreads over all tasks.
 
 Edge cases: null text or text without words has size 0, adds no words, and is repeated in whole epochs only; null source is a source of its
-own, ordered last; null doc_id takes part and ties with other nulls; repeated rows are separate documents
-(which of two equal rows is taken is not distinguishable); an empty table gives no rows; extra columns are
+own, ordered last; rows with a null id are placed by their checksum, rows with equal ids by id, size and checksum;
+repeated rows are separate documents (which of two equal rows is taken is not distinguishable); an empty table gives no rows; extra columns are
 carried by ``repeat_rows`` and ignored by ``plan_mix``.
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, null_safe, table, word_count
+from .common import Scratch, null_safe, row_sum, table, word_count
 
 #: Weights dealt to the sources in code point order, again and again.
 WEIGHTS = (3, 1, 2)
@@ -33,9 +33,9 @@ SEED = "mix-1"
 BUCKET_ROWS = 4096
 
 
-def seeded(seed: str) -> Column:
-    """The place of a document in its source's seeded order."""
-    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+def seeded(seed: str, row: Column) -> Column:
+    """The place of a document in its source's seeded order. ``row``: its checksum, the place of rows without an id."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), row))))
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -58,11 +58,11 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, scratch: Scratch, seed: str = SEED, cut_border: bool = True) -> DataFrame:
-    """Per document: doc_id, skey, size, source_size, target, epochs (whole repetitions), extra (words of the fractional one), taken."""
+    """Per document: doc_id, skey, size, source_size, target, epochs (whole repetitions), extra (words of the fractional one), taken, h and row (its place)."""
     sized = scratch.keep(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_sum(docs).alias("row"))
         .withColumn("skey", null_safe(F.col("source")))
-        .withColumn("h", seeded(seed)),
+        .withColumn("h", seeded(seed, F.col("row"))),
         "sized",
     )
     targets = scratch.keep(source_targets(sized).withColumn("n_buckets", F.least(F.lit(65536), F.ceil(F.col("n_docs") / BUCKET_ROWS)).cast("long")), "targets")
@@ -70,7 +70,7 @@ def plan_mix(docs: DataFrame, scratch: Scratch, seed: str = SEED, cut_border: bo
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spread.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     offsets = offsets.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("skey", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = spread.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["skey", "bucket"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     due = F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 0.5).cast("long") - F.col("offset") - F.col("inner")
@@ -81,7 +81,7 @@ def plan_mix(docs: DataFrame, scratch: Scratch, seed: str = SEED, cut_border: bo
         placed.withColumn("epochs", epochs)
         .withColumn("extra", due)
         .withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
-        .select("doc_id", "skey", "size", "source_size", "target", "epochs", "extra", "taken")
+        .select("doc_id", "skey", "size", "source_size", "target", "epochs", "extra", "taken", "h", "row")
     )
 
 
@@ -89,16 +89,22 @@ def repeat_rows(docs: DataFrame, scratch: Scratch, seed: str = SEED) -> DataFram
     """The mixed corpus itself: every row of ``docs`` as often as the plan takes it whole, all columns kept.
 
     Documents of the fractional epoch are a prefix of their source's seeded order, so a row a source (whole epochs,
-    the last place of the prefix) says how often each text is taken, and texts are not shuffled.  Rows equal in
-    id, source and size share one place, so they share one repetition count.
+    the last place of the prefix) says how often each text is taken, and texts are not shuffled.  Equal rows share a
+    place; where it is the last, and some of them are due only, one of them stands for all, as often as they are due.
     """
-    place = lambda size: F.struct(seeded(seed).alias("h"), size.alias("size"))
-    plan = plan_mix(docs, scratch, seed, cut_border=False)
-    last = F.max(F.when(F.col("extra") > 0, place(F.col("size"))))
-    ends = scratch.keep(plan.groupBy(F.col("skey").alias("__source")).agg(F.max("epochs").alias("__epochs"), last.alias("__last")), "ends")
-    keyed = docs.select("*", null_safe(F.col("source")).alias("__source"), word_count(F.col("text")).alias("__size"))
-    extra = (F.col("__size") > 0) & F.coalesce(place(F.col("__size")) <= F.col("__last"), F.lit(False))
-    out = keyed.join(ends, "__source").withColumn("__times", F.col("__epochs") + extra.cast("long")).filter("__times > 0")
+    place = lambda h, size, row: F.struct(h.alias("h"), size.alias("size"), row.alias("row"))
+    plan = plan_mix(docs, scratch, seed, cut_border=False).withColumn("at", place(F.col("h"), F.col("size"), F.col("row")))
+    per = plan.groupBy("skey", "at").agg(F.max("epochs").alias("epochs"), F.count("*").alias("equal"), F.count_if(F.col("extra") > 0).alias("due"))
+    last = F.max(F.when(F.col("due") > 0, F.struct("at", "equal", "due")))
+    ends = per.groupBy(F.col("skey").alias("__source")).agg(F.max("epochs").alias("__epochs"), last.alias("__last"))
+    ends = scratch.keep(ends, "ends")
+    keyed = docs.select("*", null_safe(F.col("source")).alias("__source"), word_count(F.col("text")).alias("__size"), row_sum(docs).alias("__sum"))
+    out = keyed.join(ends, "__source").withColumn("__place", place(seeded(seed, F.col("__sum")), F.col("__size"), F.col("__sum")))
+    some = F.coalesce((F.col("__place") == F.col("__last.at")) & (F.col("__last.due") < F.col("__last.equal")), F.lit(False))
+    extra = (F.col("__size") > 0) & F.coalesce(F.col("__place") <= F.col("__last.at"), F.lit(False))
+    most = out.filter(~some).withColumn("__times", F.col("__epochs") + extra.cast("long"))
+    rest = out.filter(some).dropDuplicates(["__source", "__sum"]).withColumn("__times", F.col("__epochs") * F.col("__last.equal") + F.col("__last.due"))
+    out = most.unionByName(rest).filter("__times > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
 
 

@@ -135,12 +135,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``docs`` predicted good, all columns as they are."""
+    """The rows of ``docs`` predicted good, all columns as they are. Features are counted once, and kept beside the rows."""
     train = labels.select("doc_id", "quality").filter(F.col("quality").isNotNull())
-    known = features(docs, ["doc_id"]).filter(~held_out()).join(train, "doc_id", "inner")
-    model = fit(scratch.keep(known, "train"))
-    scored = features(docs.withColumn("__row", F.struct(*docs.columns)), ["__row"]).withColumn("__score", model.score())
-    return scored.filter(F.col("__score") >= THRESHOLD).select("__row.*")
+    known = scratch.keep(features(docs.withColumns({"__row": F.struct(*docs.columns), "__held_out": held_out()}), ["__row", "__held_out"]), "features")
+    narrow = known.filter(~F.col("__held_out")).select(F.col("__row.doc_id").alias("doc_id"), *FEATURES)
+    model = fit(narrow.join(train, "doc_id"))
+    return known.filter(model.score() >= THRESHOLD).select("__row.*")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,10 @@ def test_chat_is_legal_and_cheapest_however_it_is_cut(spark, monkeypatch):
     results = []
     for size in (10_000, 12):
         monkeypatch.setattr(chat, "ROWS_A_PART", size)
-        found = chat.repair_roles(talk(spark, rows), Scratch(spark, "t")).orderBy("conv_id", "turn").collect()
+        monkeypatch.setattr(chat, "FAN", 3 if size == 12 else 1000)
+        found = chat.repair_roles(talk(spark, rows), Scratch(spark, "t")).orderBy("conv_id", "position").collect()
+        assert [(r["conv_id"], r["turn"]) for r in found] == sorted((c, t) for c, t, *_ in rows)
+        assert [r["position"] for r in found] == [r["turn"] for r in found]
         assert len(found) == len(rows)
         results.append({c: sum(r["cost"] for r in found if r["conv_id"] == c) for c in range(6)})
         for c in range(6):
@@ -102,6 +105,10 @@ def test_chat_is_legal_and_cheapest_however_it_is_cut(spark, monkeypatch):
 def test_chat_messy(spark):
     rows = [(None, None, None, None), (None, 1, "USER ", ""), (2, 1, "system", "x"), (2, 1, "system", "x"), (3, 5, "user", "q"), (3, 5, "user", "q")]
     found = chat.repair_roles(talk(spark, rows), Scratch(spark, "t"))
+    places = [(r["conv_id"], r["position"]) for r in found.collect()]
+    assert sorted(places, key=str) == sorted([(None, 0), (None, 1), (2, 0), (2, 1), (3, 0), (3, 1)], key=str)
+    names = spark.createDataFrame([(None, 1, "user", "a"), ("null", 1, "user", "b")], "conv_id string, turn long, role string, text string")
+    assert [r["position"] for r in chat.repair_roles(names, Scratch(spark, "t")).collect()] == [0, 0]
     assert found.count() == 6 and found.filter("fragment is null or out_role is null").count() == 0
     assert chat.repair_roles(talk(spark, rows).limit(0), Scratch(spark, "t")).count() == 0
 
@@ -128,6 +135,11 @@ def test_mix_messy(spark, messy, none):
     rows = mixing.repeat_rows(messy, Scratch(spark, "t"))
     assert rows.columns == messy.columns and rows.filter("source is null and text = ' \\t\\n '").count() <= 2
     assert {r["doc_id"] for r in rows.collect()} <= {r[0] for r in MESSY}
+    # null and equal ids, equal rows: every row as often as the plan takes its place
+    odd = [(None, f"w{i} " * 20, "s") for i in range(60)] + [(5, f"v{i} " * 20, "s") for i in range(30)] + [(None, "same " * 20, "s")] * 30
+    odd = spark.createDataFrame(odd, "doc_id long, text string, source string")
+    assert mixing.repeat_rows(odd, Scratch(spark, "t")).count() == 180
+    assert mixing.repeat_rows(odd.filter("text like 'same%'"), Scratch(spark, "t")).count() == 45
     assert mixing.plan_mix(none, Scratch(spark, "t")).count() == 0 == mixing.repeat_rows(none, Scratch(spark, "t")).count()
 
 
@@ -371,12 +383,22 @@ def test_shards_prune_and_messy(spark, messy, none):
     assert hilbert.cut_runs(empty, 0, 3).count() == 0
 
 
-def test_write_shards(spark, tmp_path):
-    rows = spark.range(100).selectExpr("id AS doc_id", "id % 10 AS a", "id div 10 AS b", "'t' AS text")
-    cut = hilbert.cut_runs(hilbert.hilbert_positions(rows.drop("text"), ["a", "b"], ["doc_id"], Scratch(spark, "t")), 100, 4)
-    hilbert.write_shards(rows, cut, "doc_id", str(tmp_path / "out"), 4)
+def test_write_shards_keeps_every_row(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id AS doc_id", "cast(id % 10 as string) AS a", "id div 10 AS b", "'t' AS text")
+    odd = spark.createDataFrame([(1, "1", 0, "t"), (None, None, 3, "u"), (None, None, 3, "u"), (None, "x", None, None)], "doc_id long, a string, b long, text string")
+    every = rows.unionByName(odd)
+    hilbert.write_shards(every, ["a", "b"], str(tmp_path / "out"), Scratch(spark, "t"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 100 and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+    assert Counter(map(tuple, back.select(*every.columns).collect())) == Counter(map(tuple, every.collect()))
+    counts = Counter(r["shard"] for r in back.select("shard").collect())
+    assert sorted(counts) == [0, 1, 2, 3] and max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_string_borders_have_equal_depth(spark):
+    values = spark.range(1600).selectExpr("concat(if(id = 0, 'arxiv', 'https://site'), lpad(id, 5, '0')) AS v").repartition(5)
+    borders = hilbert.string_borders(values, "v", 4)
+    cells = Counter(r["c"] for r in values.select(hilbert.cell(F.col("v"), borders).alias("c")).collect())
+    assert len(cells) == 16 and set(cells.values()) == {100}
 
 
 # --- 7: personal data
