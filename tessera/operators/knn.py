@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def block_knn(queries: DataFrame, vectors: DataFrame, k: int, floor: float = -1.0, same_type: bool = False, digits: int = 6) -> DataFrame:
-    """q, id, sim, rank: the k vectors of highest cosine for each query, ties to the smaller id; a query never finds its own id.
+def block_knn(queries: DataFrame, vectors: DataFrame, k: int | None, floor: float = -1.0, same_type: bool = False, digits: int = 6) -> DataFrame:
+    """q, id, sim, rank: the k vectors of highest cosine for each query (None: all that reach the floor), ties to the smaller id; a query never finds its own id.
 
     Both frames: id, embedding (unit vectors), type.  Vectors of another dimension are skipped; null and empty
     vectors take no part.  Both sides are dealt to blocks of bounded size and every pair of blocks is one group,
@@ -30,14 +30,18 @@ def block_knn(queries: DataFrame, vectors: DataFrame, k: int, floor: float = -1.
         if a.empty or b.empty:
             return empty
         x, y = (np.stack(d["embedding"].to_list()).astype(np.float64) for d in (a, b))
-        sims, ids, out = np.round(x @ y.T, digits), b["id"].to_numpy(), []
-        types = b["type"].to_numpy()
-        for i, (q, t) in enumerate(zip(a["id"], a["type"], strict=True)):
-            fit = np.flatnonzero((ids != q) & (sims[i] >= floor) & ((types == t) if same_type else True))
-            top = fit[np.lexsort((ids[fit], -sims[i, fit]))[:k]]
-            out.append(pd.DataFrame({"q": q, "id": ids[top], "sim": sims[i, top]}))
-        return pd.concat([empty, *out])
+        sims, q, ids = np.round(x @ y.T, digits), a["id"].to_numpy(), b["id"].to_numpy()
+        fit = (q[:, None] != ids) & (sims >= floor)
+        if same_type:
+            fit &= a["type"].to_numpy()[:, None] == b["type"].to_numpy()
+        if k is not None and k < len(ids):  # at or above the k-th of a row; ties are cut below, by id
+            ranked = np.where(fit, sims, -np.inf)
+            fit &= sims >= np.partition(ranked, len(ids) - k, axis=1)[:, [len(ids) - k]]
+        i, j = np.nonzero(fit)
+        found = pd.DataFrame({"q": q[i], "id": ids[j], "sim": sims[i, j]})
+        return found if k is None else found.sort_values(["q", "sim", "id"], ascending=[True, False, True]).groupby("q").head(k)
 
     found = left.groupBy("dim", "lb", "rb").cogroup(right.groupBy("dim", "lb", "rb")).applyInPandas(best, "q long, id long, sim double")
     order = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= (2**31 - 1 if k is None else k))

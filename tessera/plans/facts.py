@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
-from tessera.functions.text import predicate_signature
+from tessera.functions.text import ENDINGS, PREFIXES, SUFFIXES, predicate_signature
 from tessera.functions.visibility import active_fact
 from tessera.operators import facts as ops
 from tessera.sources.bind import frame, sql, table
@@ -153,22 +153,26 @@ def vocabulary_health(spark: SparkSession, d: str) -> DataFrame:
     return u.agg(F.count("*").alias("total"), F.count_if(F.col("ents") >= 2).alias("carried"), F.count_if(F.col("ents") == 1).alias("singletons"), F.floor(100 * F.count_if(F.col("ents") == 1) / F.count("*")).alias("percent"))
 
 
-SIG = r"""array_to_string(list_sort(list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(p_name), '^(is|has|was|does)_', ''), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: CASE WHEN length(t) > 4 THEN regexp_replace(t, '(es|s|ed|ing)$', '') ELSE t END), lambda t: t <> '')), ' ')"""
+PREDICATE = "CASE p_partkey % 4 WHEN 0 THEN 'is_' WHEN 1 THEN 'were_' ELSE '' END || replace(p_name, ' ', '_') || CASE p_partkey % 3 WHEN 0 THEN '_of' WHEN 1 THEN '_for_the' ELSE 's' END"
+BARE = "trim(lower(p))"
+for _affix in (*(f"^{a}" for a in PREFIXES), *(f"{a}$" for a in SUFFIXES)):
+    BARE = f"regexp_replace({BARE}, '{_affix}', '')"
+SIG = rf"""array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array({BARE}, '[_\s]+'), lambda t: CASE WHEN t IN ('the', 'a', 'an') THEN '' WHEN length(t) > 4 THEN regexp_replace(t, '({'|'.join(ENDINGS)})$', '') ELSE t END), lambda t: t <> '')), ' ')"""
 
 
-@query(f"SELECT {SIG} AS signature, count(*) AS n, min_by(p_name, (length(p_name), p_name)) AS canonical FROM part GROUP BY 1")
+@query(f"SELECT {SIG} AS signature, count(*) AS n, min_by(p, (length(p), p)) AS canonical FROM (SELECT {PREDICATE} AS p FROM part) GROUP BY 1")
 def predicate_signature_groups(spark: SparkSession, d: str) -> DataFrame:
     """Predicates that differ in affixes and word order, and the one to keep (the shortest)."""
-    p = table(spark, d, "part").select(predicate_signature(F.col("p_name")).alias("signature"), "p_name")
-    return p.groupBy("signature").agg(F.count("*").alias("n"), F.min(F.struct(F.length("p_name"), "p_name"))["p_name"].alias("canonical"))
+    p = table(spark, d, "part").select(F.expr(PREDICATE).alias("p")).select(predicate_signature(F.col("p")).alias("signature"), "p")
+    return p.groupBy("signature").agg(F.count("*").alias("n"), F.min(F.struct(F.length("p"), "p"))["p"].alias("canonical"))
 
 
-ONE = "WITH p AS (SELECT DISTINCT replace(lower(p_brand || '_' || p_type), ' ', '_') AS p FROM part), t AS (SELECT p, string_split(p, '_') AS t FROM p)"
+ONE = "WITH p AS (SELECT DISTINCT replace(lower(p_type || '_' || p_name), ' ', '_') AS p FROM part), t AS (SELECT p, string_split(p, '_') AS t FROM p)"
 
 
 @query(ONE + " SELECT a.p AS a, b.p AS b FROM t a JOIN t b ON a.p < b.p AND len(a.t) = len(b.t) AND len(a.t) >= 3 WHERE len(list_filter(range(1, len(a.t) + 1), lambda i: a.t[i] <> b.t[i])) = 1")
 def predicate_one_token_diff(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select(F.regexp_replace(F.lower(F.concat_ws("_", "p_brand", "p_type")), " ", "_").alias("predicate")).distinct()
+    p = table(spark, d, "part").select(F.regexp_replace(F.lower(F.concat_ws("_", "p_type", "p_name")), " ", "_").alias("predicate")).distinct()
     return ops.one_token_pairs(p)
 
 

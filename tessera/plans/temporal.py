@@ -57,11 +57,17 @@ def nearest_weekday(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), t.nearest_weekday(F.col("o_orderdate").cast("date"), F.expr("o_orderkey % 7")).alias("moved"))
 
 
-@query("""SELECT id, CASE WHEN wrong AND day(moved) = day(d0) THEN moved ELSE d0 END AS day FROM (
-SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d0, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) > DATE '1996-06-15' ELSE CAST(o_orderdate AS DATE) < DATE '1996-06-15' END AS wrong,
-CAST(CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 2 = 0 THEN to_months(-1) ELSE to_months(1) END AS DATE) AS moved FROM orders)""")
+SNAP_TEXT = "'Rendez-vous le ' || day(o_orderdate) || CASE o_orderkey % 7 WHEN 0 THEN ' Août' WHEN 1 THEN ' march' WHEN 2 THEN ' FÉVRIER' ELSE ', a ' || o_orderpriority END"
+SNAP_KIND = "CASE o_orderkey % 4 WHEN 0 THEN 'episode' WHEN 1 THEN 'event' WHEN 2 THEN 'task' ELSE 'fact' END"
+
+
+@query(f"""SELECT id, CASE WHEN wrong AND NOT regexp_matches(translate(lower(txt), '{t.MONTH_ACCENTS[0]}', '{t.MONTH_ACCENTS[1]}'), '{"|".join(t.MONTHS)}') AND day(moved) = day(d0) THEN moved ELSE d0 END AS day FROM (
+SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d0, {SNAP_TEXT} AS txt,
+CASE {SNAP_KIND} WHEN 'episode' THEN CAST(o_orderdate AS DATE) > DATE '1996-06-15' WHEN 'fact' THEN false ELSE CAST(o_orderdate AS DATE) <= DATE '1996-06-15' END AS wrong,
+CAST(CAST(o_orderdate AS DATE) + CASE {SNAP_KIND} WHEN 'episode' THEN to_months(-1) ELSE to_months(1) END AS DATE) AS moved FROM orders)""")
 def bare_day_snap(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), t.month_snap(F.col("o_orderdate").cast("date"), F.lit("1996-06-15").cast("date"), F.expr("o_orderkey % 2 = 0")).alias("day"))
+    day = t.month_snap(F.col("o_orderdate").cast("date"), F.lit("1996-06-15").cast("date"), F.expr(SNAP_KIND), F.expr(SNAP_TEXT))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), day.alias("day"))
 
 
 @query("SELECT CAST(x AS DATE) AS day, isodow(x) - 1 AS weekday FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-22', TIMESTAMP '2024-02-16', INTERVAL 1 DAY)) AS x)")
@@ -105,7 +111,7 @@ def trigger_policy(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH e AS (SELECT o_orderkey AS id, 'event' AS kind, CASE WHEN x >= DATE '1997-03-01' THEN x ELSE CAST(x + INTERVAL 1 YEAR AS DATE) END AS day, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS title
-  FROM (SELECT *, CAST(CAST(o_orderdate AS DATE) + to_years(CAST(1997 - year(o_orderdate) AS INT)) AS DATE) AS x FROM orders WHERE o_orderkey % 10 = 0)),
+  FROM (SELECT *, CAST(CAST(o_orderdate AS DATE) + to_years(CAST(1997 - year(o_orderdate) AS INT)) AS DATE) AS x FROM orders)),
 soon AS (SELECT * FROM e WHERE day < DATE '1997-03-08'),
 b AS (SELECT c_custkey AS id, 'birthday' AS kind, CAST(DATE '1997-01-01' + INTERVAL 1 DAY * (c_custkey % 365) AS DATE) AS day, 'Birthday: ' || c_name AS title, c_name FROM customer)
 SELECT id, kind, day, title FROM soon UNION ALL
@@ -114,7 +120,7 @@ def week_birthday_dedup(spark: SparkSession, d: str) -> DataFrame:
     """D01, §8.8: what is due within a week; a birthday goes if a due event already names its entity."""
     today, end = F.lit("1997-03-01").cast("date"), F.lit("1997-03-08").cast("date")
     name = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
-    events = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.lit("event").alias("kind"), t.next_yearly(F.col("o_orderdate").cast("date"), today).alias("day"), name.alias("title"))
+    events = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("event").alias("kind"), t.next_yearly(F.col("o_orderdate").cast("date"), today).alias("day"), name.alias("title"))
     soon = events.filter(F.col("day") < end)
     births = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("birthday").alias("kind"), F.date_add(F.lit("1997-01-01").cast("date"), F.expr("CAST(c_custkey % 365 AS INT)")).alias("day"), "c_name")
     births = births.filter((F.col("day") >= today) & (F.col("day") < end)).join(soon.select(F.col("title").alias("c_name")), "c_name", "left_anti")

@@ -44,26 +44,43 @@ def slug_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), x.slug(F.col("text")).alias("slug"))
 
 
-@query(rf"SELECT doc_id AS id, CAST(len({TOK}) AS BIGINT) AS words, CAST(len(list_filter(regexp_split_to_array(regexp_replace(text, '\b(Dr|Mr|Mrs|etc|vs)\.', '\1', 'g'), '[.!?]+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g')) <> '')) AS BIGINT) AS sentences FROM documents")
+@query(rf"SELECT doc_id AS id, CAST(len({TOK}) AS BIGINT) AS words, CAST(len(list_filter(string_split(regexp_replace(regexp_replace(text, '(^|[^A-Za-z0-9_])({"|".join(x.ABBREVIATIONS)})\.', '\1\2', 'g'), '[.!?]+(\s|$)', chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g')) <> '')) AS BIGINT) AS sentences FROM documents")
 def sentence_and_word_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), x.word_count(F.col("text")).alias("words"), x.sentence_count(F.col("text")).alias("sentences"))
 
 
+_WORDS = "regexp_extract_all(lower(text), '[" + x.LETTERS.replace("'", "''") + "]+')"
 _IN = lambda ws: ", ".join(f"'{w}'" for w in ws)
 
 
-@query(f"SELECT id, CASE WHEN fr > en THEN 'fr' WHEN en > fr THEN 'en' ELSE 'undecided' END AS guess FROM (SELECT doc_id AS id, len(list_filter({TOK}, lambda t: t IN ({_IN(x.FRENCH)}))) AS fr, len(list_filter({TOK}, lambda t: t IN ({_IN(x.ENGLISH)}))) AS en FROM documents)")
+@query(f"SELECT id, CASE WHEN fr > en THEN 'fr' WHEN en > fr THEN 'en' ELSE 'undecided' END AS guess FROM (SELECT doc_id AS id, len(list_filter({_WORDS}, lambda t: t IN ({_IN(x.FRENCH)}))) AS fr, len(list_filter({_WORDS}, lambda t: t IN ({_IN(x.ENGLISH)}))) AS en FROM documents)")
 def lang_guess(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), x.language_guess(F.col("text")).alias("guess"))
 
 
-@query(f"WITH g AS (SELECT lang, CASE WHEN fr > en THEN 'fr' WHEN en > fr THEN 'en' ELSE 'undecided' END AS guess FROM (SELECT lang, len(list_filter({TOK}, lambda t: t IN ({_IN(x.FRENCH)}))) AS fr, len(list_filter({TOK}, lambda t: t IN ({_IN(x.ENGLISH)}))) AS en FROM documents)) SELECT lang, count(*) AS n, count(*) FILTER (lang = guess) AS hit, CAST(greatest(0, 200 - count(*)) AS BIGINT) AS deficit FROM g GROUP BY lang")
+@query(f"WITH g AS (SELECT lang, CASE WHEN fr > en THEN 'fr' WHEN en > fr THEN 'en' ELSE 'undecided' END AS guess FROM (SELECT lang, len(list_filter({_WORDS}, lambda t: t IN ({_IN(x.FRENCH)}))) AS fr, len(list_filter({_WORDS}, lambda t: t IN ({_IN(x.ENGLISH)}))) AS en FROM documents)) SELECT lang, count(*) AS n, count(*) FILTER (lang = guess) AS hit, CAST(greatest(0, 200 - count(*)) AS BIGINT) AS deficit FROM g GROUP BY lang")
 def language_mix(spark: SparkSession, d: str) -> DataFrame:
     """Languages, how many the guess hits, and what is missing to a target of 200."""
     g = table(spark, d, "documents").select("lang", x.language_guess(F.col("text")).alias("guess"))
     return g.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("guess")).alias("hit"), F.greatest(F.lit(0).cast("long"), 200 - F.count("*")).alias("deficit"))
 
 
+@query("SELECT doc_id AS id, array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT starts_with(ltrim(l), '#')), chr(10)) AS body FROM documents")
+def headings_removed(spark: SparkSession, d: str) -> DataFrame:
+    """C11."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), x.without_headings(F.col("text")).alias("body"))
+
+
+ANSWER = "CASE event_id % 5 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN '  ' || props || chr(10) WHEN 2 THEN '```' || chr(10) || props WHEN 3 THEN 'no object' ELSE substring(props, 1, 3) END"
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 7 <> 0 AND event_id % 5 < 3 THEN props END AS payload FROM events""")
+def answer_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Fenced, bare, unclosed, cut-off and plain answers."""
+    stop = F.expr("CASE WHEN event_id % 7 = 0 THEN 'max_tokens' ELSE 'end_turn' END")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), x.fenced_json(F.expr(ANSWER), stop).alias("payload"))
+
+
 @query(r"""SELECT min(doc_id) AS id, count(*) AS copies, sha256(lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))) AS key FROM documents GROUP BY 3""")
 def dedup_normalised(spark: SparkSession, d: str) -> DataFrame:
     """Texts equal but for case and signs."""
