@@ -9,7 +9,7 @@ Jaccard distance (1 - similarity) is a metric; two sets link at distance EPS or
     sets are formed.  The same test is repeated on whole sets.
 3.  Recursion over the candidates.  A level draws pivots by a seeded hash, and finds their exact distances to
     all that lie within 3 EPS (a join on the pivots' rarest shingles, as many as no such pair can miss; all
-    other distances are known to be larger).  Nodes within 2 EPS of a pivot leave for the Voronoi cell of
+    other distances are known to be larger).  Pivots within 2 EPS of another are ordinary nodes again.  Nodes within 2 EPS of a pivot leave for the Voronoi cell of
     their nearest one.  By the triangle inequality a partner of a member of cell p lies within 3 EPS of p, and one
     in another cell q is at most 2 EPS farther from p than from q, so these windows are replicated into
     region p, of two cells into the one with the smaller name only.  Nodes with no pivot that near
@@ -45,7 +45,7 @@ from .components import components
 
 WORDS = 4
 PERCENT = 85
-PIVOTS, GROWTH = 32, 32
+PIVOTS, GROWTH, REGION_PIVOTS = 32, 32, 4
 POSTINGS_A_TASK = 4096
 BLOCK, ROWS_A_TASK, COLUMNS = 512, 2000, 4096
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -175,15 +175,21 @@ def chance(seed: str | int) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def root_pairs(here: DataFrame, level: int, share: float, percent: int) -> DataFrame:
-    """p, x, xp (x is a pivot too): each pivot with the nodes of ``here`` that may be within 3 EPS of it (of two pivots: EPS), from their
-    rarest shingles. Frequent shingles are split over tasks."""
-    here = here.withColumn("parts", F.ceil(F.col("df") / POSTINGS_A_TASK))
-    is_pivot = chance(level) < share
-    rows = here.select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("x"), F.col("n").alias("xn"), F.col("near").alias("xnear"), is_pivot.alias("xp"))
-    pivots = here.filter(is_pivot).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("near").alias("pnear"))
-    both = pivots.join(rows, ["key", "part"]).filter("p <> x and (not xp or (p < x and pnear and xnear))")
-    return both.filter(100 * F.least("pn", "xn") >= (3 * percent - 200) * F.greatest("pn", "xn")).select("p", "x", "xp").distinct()
+def prefix_pairs(pivots: DataFrame, rows: DataFrame, percent: int, near: bool) -> DataFrame:
+    """p, x: nodes of two parts of the index that share one of the rarest shingles, as all within 3 EPS do (``near``: EPS, and p < x).
+    Frequent shingles are split over tasks."""
+    parts = F.ceil(F.col("df") / POSTINGS_A_TASK)
+    one = pivots.select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("near").alias("pnear"))
+    two = rows.select("key", F.pmod(F.xxhash64("node"), parts).alias("part"), F.col("node").alias("x"), F.col("n").alias("xn"), F.col("near").alias("xnear"))
+    both = one.join(two, ["key", "part"]).filter("p < x and pnear and xnear" if near else "p <> x")
+    return both.filter(100 * F.least("pn", "xn") >= (percent if near else 3 * percent - 200) * F.greatest("pn", "xn")).select("p", "x").distinct()
+
+
+def sparse_pivots(index: DataFrame, sets: DataFrame, level: int, share: float, percent: int, scratch: Scratch) -> DataFrame:
+    """node: the pivots of a level. Of those drawn that are within 2 EPS of each other the smaller name stays, so that a dense group has few."""
+    drawn = index.filter(chance(level) < share)
+    close = with_distance(prefix_pairs(drawn, drawn, percent, False).filter("p < x"), sets, percent).filter(F.col("d") <= (100 - percent) / 50 + 1e-9)
+    return scratch.keep(drawn.select("node").distinct().join(close.select(F.col("x").alias("node")), "node", "left_anti"), f"pivots{level}")
 
 
 def cells(met: DataFrame, within: float, window: float, eps: float) -> DataFrame:
@@ -204,17 +210,18 @@ def split_root(index: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
     eps, links, regions = (100 - percent) / 100, [], []
     here, level = index, 0
     while n := here.select("node").distinct().count():
-        share = min(1.0, PIVOTS * GROWTH**level / n) if n > BLOCK else 1.0
-        near = with_distance(root_pairs(here, level, share, percent), sets, percent).filter(F.col("d") <= 3 * eps + 1e-9)
-        met = scratch.keep(near, f"met{level}")
-        links.append(met.filter("link").select("p", "x"))
-        if share == 1:  # all are pivots: all have met
+        if n <= max(BLOCK, PIVOTS * GROWTH**level):  # all are pivots: all meet
+            links.append(scratch.keep(with_distance(prefix_pairs(here, here, percent, True), sets, percent).filter("link").select("p", "x"), "last"))
             break
-        members = met.filter("not xp").withColumn("region", F.lit(0).cast("long"))
-        found = cells(members, 2 * eps + 1e-9, 3 * eps + 1e-9, eps)
+        pivots = sparse_pivots(here, sets, level, PIVOTS * GROWTH**level / n, percent, scratch)
+        others = here.join(pivots, "node", "left_anti")
+        near = with_distance(prefix_pairs(here.join(pivots, "node", "left_semi"), others, percent, False), sets, percent)
+        met = scratch.keep(near.filter(F.col("d") <= 3 * eps + 1e-9), f"met{level}")
+        links.append(met.filter("link").select("p", "x"))
+        found = cells(met.withColumn("region", F.lit(0).cast("long")), 2 * eps + 1e-9, 3 * eps + 1e-9, eps)
         regions.append(scratch.keep(found.select(F.xxhash64("p", F.lit(level)).alias("region"), "node", "d"), f"regions{level}"))
-        gone = members.filter(F.col("d") <= 2 * eps + 1e-9).select(F.col("x").alias("node")).distinct()
-        here = scratch.keep(here.filter(chance(level) >= share).join(gone, "node", "left_anti"), f"left{level}")
+        gone = met.filter(F.col("d") <= 2 * eps + 1e-9).select(F.col("x").alias("node")).distinct()
+        here = scratch.keep(others.join(gone, "node", "left_anti"), f"left{level}")
         level += 1
     return links, regions
 
@@ -244,7 +251,7 @@ def split_regions(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scrat
             return links, done
         # a region as large is split over tasks; its pivots go to each of them
         parts = F.ceil(F.col("c") / POSTINGS_A_TASK)
-        sized = rows.join(deep, "region").select("region", "node", "d", "c", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part"), (chance(f"split{level}") < PIVOTS / F.col("c")).alias("is_pivot"))
+        sized = rows.join(deep, "region").select("region", "node", "d", "c", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part"), (chance(f"split{level}") < REGION_PIVOTS / F.col("c")).alias("is_pivot"))
         sized = scratch.keep(sized, f"sized{level}")
         pivots = sized.filter("is_pivot").select("region", F.col("node").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         pairs = sized.select("region", "part", F.col("node").alias("x"), "is_pivot", "c").join(pivots, ["region", "part"]).filter("p <> x and (not is_pivot or p < x)")

@@ -538,6 +538,7 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, pivots, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "COLUMNS", 64)
     monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "GROWTH", 3)
     monkeypatch.setattr(jaccard, "POSTINGS_A_TASK", 20)
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(3000)]
