@@ -55,3 +55,31 @@ def test_deduplicate_takes_five_words_and_80_percent(spark):
     want = {i for i in texts if i % 2 == 0 or pairs[i - 1] < 0.8}
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.deduplicate(spark, docs, DATA).collect()} == want
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, node long, words int, label string"
+ODD = [
+    (1, "T"), (None, "T"), (None, "U"), (None, "U"), (8, "T"), (8, "other"), (9, None), (9, None), (10, ""), (None, " \n"),
+]
+
+
+def odd_rows(spark):
+    long = {"T": " ".join(f"t{i}" for i in range(90)), "U": " ".join(f"u{i}" for i in range(90)), "other": " ".join(f"o{i}" for i in range(90))}
+    return spark.createDataFrame([(i, long.get(t, t), "en", None, 3, 1, 2, 3, "x") for i, t in ODD], SCHEMA)
+
+
+def test_deduplicate_keeps_one_row_of_a_class(spark):
+    kept = corpus_pipeline.deduplicate(spark, odd_rows(spark), DATA)
+    found = sorted(((r["doc_id"], (r["text"] or "")[:2]) for r in kept.collect()), key=str)
+    assert kept.columns == odd_rows(spark).columns
+    assert found == sorted([(1, "t0"), (None, "u0"), (8, "o0"), (9, ""), (9, ""), (10, ""), (None, " \n")], key=str)
+
+
+def test_all_stages_take_odd_and_empty_tables(spark):
+    for docs in (odd_rows(spark), odd_rows(spark).limit(0)):
+        empty = docs.isEmpty()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            made = stage(spark, docs, DATA)
+            assert made.columns == docs.columns and (not empty or made.count() == 0)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+        assert packed.count() == (0 if empty else len(ODD))
