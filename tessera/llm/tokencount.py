@@ -10,10 +10,15 @@ shared by all texts of a Python worker; the table is emptied when it reaches a b
 Two tokens a, b may stand side by side if encoding ``a + b`` gives a, b back; that test is memoised too.
 
 Texts break at spaces and at characters that no token holds (line feeds here): no token spans them, so the
-transducer is in its start state there.  A chunk of a text maps the state it is entered in to the state it is
-left in and a count; because of the breaks that map is (head before the first break, count, tail after the
-last), maps are joined associatively, and a prefix scan over the chunks of a long text gives its count.
-Counts of whole items (from break to break) are remembered as arcs of their own.
+transducer is in its start state there.  Items from break to break are arcs of their own, remembered by text.
+
+Every text is cut into chunks of fixed length, wherever they fall.  A chunk is a map from the state it is
+entered in to the state it is left in and the tokens emitted: it is read from the start state first, and the
+states met on the way are kept as marks; from any other state it is read only until it meets a mark, as the two
+paths are one from there on (at a break, at the latest; in a text without breaks after a few characters).
+Where they never meet, the chunk is read to its end, so the map is exact for every state.  Maps are
+associative and are composed pairwise in a tree; the whole text's map, applied to the start state, gives the
+count.  Rows are what Spark spreads over tasks; the tree of one text is composed within its row's task.
 
 Edge cases: null text counts as empty: 0 bytes, 0 tokens; null ids are kept; repeated rows give repeated
 rows; an empty table gives no rows; extra columns are ignored; text length is limited by memory for one row.
@@ -22,8 +27,9 @@ rows; an empty table gives no rows; extra columns are ignored; text length is li
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +38,11 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, table
 
 LIMIT = 4096
-CHUNK = 1 << 16
+CHUNK, MARKS = 4096, 256
+START = ("", ((None, 0),))
 MAX_STATES, MAX_ITEMS, MAX_PAIRS = 300_000, 500_000, 500_000
 SPACE = "▁"
+BREAK = re.compile("(?<=[^ ]) |\n")
 SIMPLE = re.compile(" +[^ \n]*|\n[^ \n]*")
 
 
@@ -60,8 +68,8 @@ class Transducer:
         return parts
 
     def _reset(self) -> None:
-        self.states: dict[tuple, int] = {("", ((None, 0),)): 0}
-        self.keys: list[tuple] = [("", ((None, 0),))]
+        self.states: dict[tuple, int] = {START: 0}
+        self.keys: list[tuple] = [START]
         self.arcs: list[dict[str, tuple[int, int]]] = [{}]
 
     def _may_follow(self, a: str | None, b: str) -> bool:
@@ -92,29 +100,95 @@ class Transducer:
         keep = next(i for i in range(len(grown) + 1) if grown[i:] in self.prefixes or i == len(grown))
         seen = [p if p is not None and grown[i:] in self.prefixes or i == len(grown) else None for i, p in enumerate(seen)][keep:]
         key = (grown[keep:], tuple(None if p is None else (p[0], p[1] - now) for p in seen))
-        to = self.states.get(key)
-        if to is None:
-            to = self.states[key] = len(self.keys)
+        arc = self.arcs[state][c] = (self._state(key), now)
+        return arc
+
+    def _state(self, key: tuple) -> int:
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = len(self.keys)
             self.keys.append(key)
             self.arcs.append({})
-        arc = self.arcs[state][c] = (to, now)
-        return arc
+        return found
 
-    def count(self, item: str) -> int:
+    def walk(self, key: tuple, item: str) -> Iterator[tuple[tuple, int]]:
+        """The state and the tokens emitted so far, after each character."""
+        total = 0
+        for c in item:
+            if len(self.keys) >= MAX_STATES:
+                self._reset()
+            state = self._state(key)
+            to, more = self.arcs[state].get(c) or self._compile(state, c)
+            key, total = self.keys[to], total + more
+            yield key, total
+
+    def read(self, key: tuple, item: str) -> tuple[tuple, int]:
+        """The state that an item entered in ``key`` is left in, and the tokens it emits."""
         if len(self.keys) >= MAX_STATES:
             self._reset()
-        arcs, state, total = self.arcs, 0, 0
+        arcs, state, total = self.arcs, self._state(key), 0
         for c in item:
             arc = arcs[state].get(c)
             if arc is None:
                 arc = self._compile(state, c)
             state = arc[0]
             total += arc[1]
-        return total
+        return self.keys[state], total
+
+
+class ChunkMap:
+    """A chunk as a map from the state before it to (the state after it, tokens emitted)."""
+
+    def __init__(self, counter: Counter, chunk: str):
+        self.transducer = counter.transducer
+        first = BREAK.search(chunk)
+        self.open = (chunk[: first.start()] if first else chunk).replace(" ", SPACE)
+        self.marks = [(START, 0), *islice(self.transducer.walk(START, self.open), MARKS)]
+        key, n = self.marks[-1]
+        left, more = self.transducer.read(key, self.open[len(self.marks) - 1 :])
+        self.through = left, n + more
+        self.rest = None
+        if first:
+            at = max(chunk.rfind(" "), chunk.rfind("\n"))
+            last = at if chunk[at] == "\n" else len(chunk[: at + 1].rstrip(" "))
+            left, more = self.transducer.read(START, chunk[last:].replace(" ", SPACE))
+            self.rest = left, counter.items_of(chunk[first.start() : last]) + more
+
+    def _through(self, key: tuple) -> tuple[tuple, int]:
+        left, whole = self.through
+        if key == START:
+            return left, whole
+        n, at = 0, 0
+        for at, (now, n) in enumerate(islice(self.transducer.walk(key, self.open), MARKS), 1):
+            key = now
+            if key == self.marks[at][0]:
+                return left, n + whole - self.marks[at][1]
+        end, more = self.transducer.read(key, self.open[at:])
+        return end, n + more
+
+    def __call__(self, key: tuple) -> tuple[tuple, int]:
+        left, n = self._through(key)
+        return (left, n) if self.rest is None else (self.rest[0], n + self.rest[1])
+
+
+class Composed:
+    """Two neighbouring maps as one; what it does to the start state is known before anyone asks."""
+
+    def __init__(self, first: Callable, second: Callable):
+        self.first, self.second = first, second
+        self.from_start = self._apply(START)
+
+    def _apply(self, key: tuple) -> tuple[tuple, int]:
+        between, n = self.first(key)
+        left, more = self.second(between)
+        return left, n + more
+
+    def __call__(self, key: tuple) -> tuple[tuple, int]:
+        return self.from_start if key == START else self._apply(key)
 
 
 class Counter(dict):
-    """Token counts of items (a space or more and a word, or a line feed and a word), remembered; of chunks; of texts."""
+    """Token counts of items (a space or more and a word, or a line feed and a word), remembered; of texts."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -128,52 +202,25 @@ class Counter(dict):
     def __missing__(self, item: str) -> int:
         if len(self) >= MAX_ITEMS:
             self.clear()
-        if item[:1] == "\n":
-            n = 1 + self.transducer.count(item[1:])
-        else:
-            n = self.transducer.count((item if item[:1] == " " else " " + item).replace(" ", SPACE))
-        self[item] = n
+        spaced = item if item[:1] in (" ", "\n") else " " + item
+        n = self[item] = self.transducer.read(START, spaced.replace(" ", SPACE))[1]
         return n
 
     def items_of(self, spaced: str) -> int:
+        """Tokens of text from a break to another one."""
+        items = spaced.replace("\n", " \n").split(" ")
+        if "" not in items[1:]:  # single spaces only: an item without a space or line feed stands for a space and itself
+            return sum(map(self.__getitem__, items[1:]))
         return sum(map(self.__getitem__, SIMPLE.findall(spaced)))
 
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(head, count, tail); count None: no break inside, and the head is all."""
-        breaks = [m.start() for m in re.finditer("(?<=[^ ]) |\n", chunk)]
-        if not breaks:
-            return chunk, None, ""
-        return chunk[: breaks[0]], self.items_of(chunk[breaks[0] : breaks[-1]]), chunk[breaks[-1] :]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        open_tail = a[2] if a[1] is not None else a[0]
-        middle = open_tail + b[0]
-        parts = re.split("(?<=[^ ])(?= )|(?=\n)", middle)
-        if a[1] is None and b[1] is None:
-            joined = (middle, None, "") if len(parts) == 1 else (parts[0], sum(self[p] for p in parts[1:-1] if p), parts[-1])
-        elif a[1] is None:
-            joined = (parts[0], b[1] + sum(self[p] for p in parts[1:] if p), b[2])
-        elif b[1] is None:
-            joined = (a[0], a[1] + sum(self[p] for p in parts[:-1] if p), parts[-1])
-        else:
-            joined = (a[0], a[1] + b[1] + sum(self[p] for p in parts if p), b[2])
-        return joined
-
     def of_text(self, text: str) -> int:
         if not text:
             return 0
-        text = text.replace(SPACE, " ")
-        if len(text) <= CHUNK:
-            items = text.replace("\n", " \n").split(" ")
-            if "" not in items:  # single spaces only: an item without a space or line feed stands for a space and itself
-                return sum(map(self.__getitem__, items))
-            return self.items_of(" " + text)
-        text = " " + text
-        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        while len(maps) > 1:  # pairwise, as a scan's tree
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, count, tail = maps[0]
-        return sum(self.items_of(x) for x in (head, tail) if x) + (count or 0)
+        text = " " + text.replace(SPACE, " ")
+        maps: list[Callable] = [ChunkMap(self, text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
+        while len(maps) > 1:
+            maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0](START)[1]
 
 
 @lru_cache(maxsize=2)

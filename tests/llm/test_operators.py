@@ -573,13 +573,14 @@ def test_tokens_equal_library(spark, docs):
         assert (found[i]["n_bytes"], found[i]["n_tokens"], found[i]["over_limit"]) == (len(text.encode()), n, n > 4096)
 
 
-@pytest.mark.parametrize("chunk", [5, 1 << 16])
-def test_transducer_equals_library(monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "marks"), [(1, 0), (5, 2), (4096, 256)])
+def test_transducer_equals_library(monkeypatch, chunk, marks):
     import random
 
     import sentencepiece
 
     monkeypatch.setattr(tokencount, "CHUNK", chunk)
+    monkeypatch.setattr(tokencount, "MARKS", marks)
     monkeypatch.setattr(tokencount, "MAX_STATES", 3000)
     model = public_tokenizers.path("piece_bpe_32k.model")
     ours, library, rng = tokencount.Counter(model), sentencepiece.SentencePieceProcessor(model_file=model), random.Random(3)
@@ -589,6 +590,23 @@ def test_transducer_equals_library(monkeypatch, chunk):
     assert [ours.of_text(t) for t in texts] == [len(library.encode(t)) for t in texts]
 
 
+def test_chunk_maps_without_breaks():
+    """A megabyte without a break is composed from state maps; a map is that of plain reading for every state it is entered in."""
+    import random
+
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ours, library, rng = tokencount.Counter(model), sentencepiece.SentencePieceProcessor(model_file=model), random.Random(4)
+    for text in ("ab" * 500_000, "".join(rng.choice("abcdefgh") for _ in range(200_000))):
+        assert ours.of_text(text) == len(library.encode(text))
+    entries = [tokencount.START] + [key for key, _ in ours.transducer.walk(tokencount.START, "internationalisation")]
+    for chunk in ("alphabet", "e", " word next", "ab\ncd ef", "  "):
+        mapped = tokencount.ChunkMap(ours, chunk)
+        for key in entries:
+            assert mapped(key)[1] == ours.transducer.read(key, chunk.replace(" ", tokencount.SPACE))[1]
+
+
 def test_tokens_messy(spark, messy, none):
     model = public_tokenizers.path("piece_bpe_32k.model")
     found = tokencount.count_tokens(messy, model)
