@@ -56,3 +56,36 @@ def state_hash(df: DataFrame, name: str) -> DataFrame:
 def differing_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one frame and not the other, with the side, repeats counted."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+#: Each axis a case may assert, and the boundary it serves.
+AXES = (
+    ("note", "routage"), ("kind", "routage"), ("owner", "R1e"), ("recurring", "R2e/R3e"), ("event_date", "R2d"), ("language", "X-LANG"),
+    ("needs_review", "X-CONF"), ("rel", "P-FR"), ("proj", "R0"), ("facts_min", "X-ONE"), ("entity_expected", "P-PERS"), ("no_entity", "P-PERS"),
+    ("entity_proposed", "P-CREATE"), ("type_proposal", "P-TYPE"), ("no_type_proposal", "P-TYPE"), ("fact_proposed", "F-QUEUE"), ("fact_asserted", "F-QUEUE"),
+    ("resource_url", "RES"), ("resource_owner_type", "RES"), ("resource_comment", "RES"), ("forbidden_value", "interdit"), ("forbidden_predicate", "interdit"),
+    ("obsoletes", "NEG-b"), ("no_obsolete", "NEG-c"), ("cancels", "NEG-d"), ("no_cancel", "NEG-d"), ("memories", "X-ONE"),
+    ("renamed_to", "PER-b"), ("no_rename", "PER-b"), ("drop_guard", "perte"),
+)
+ANSWER = "entities array<struct<name string, facts array<struct<predicate string, value string>>>>, relations array<struct<source string>>"
+
+
+def asserted_axes(cases: DataFrame) -> DataFrame:
+    """A row a case (id, body: JSON) and axis whose key is present, null or not; a case that asserts nothing has no row."""
+    boundary = F.create_map(*[F.lit(x) for pair in AXES for x in pair])
+    axes = F.array_intersect(F.array(*[F.lit(a) for a, _ in AXES]), F.json_object_keys("body"))
+    return cases.select("id", F.explode(axes).alias("axis")).withColumn("boundary", boundary[F.col("axis")])
+
+
+def nested_facts(answers: DataFrame) -> DataFrame:
+    """A row a fact of the entities in an answer (id, answer: JSON); entities without facts have none."""
+    entity = answers.select("id", F.explode(F.from_json("answer", ANSWER)["entities"]).alias("e"))
+    return entity.select("id", F.col("e.name").alias("entity"), F.explode("e.facts").alias("f")).select("id", "entity", "f.predicate", "f.value")
+
+
+def durable_count(answer: Column) -> Column:
+    """Facts of all entities and relations of an answer; absent or null lists count nothing."""
+    parsed = F.from_json(answer, ANSWER)
+    size = lambda c: F.coalesce(F.array_size(c), F.lit(0)).cast("long")
+    facts = F.aggregate(F.coalesce(parsed["entities"], F.array()), F.lit(0).cast("long"), lambda n, e: n + size(e["facts"]))
+    return facts + size(parsed["relations"])

@@ -90,3 +90,11 @@ def first_match(entities: DataFrame, wanted: DataFrame) -> DataFrame:
     hits = wanted.withColumn("key", F.lower("name")).join(names, "key")
     order = Window.partitionBy("name").orderBy("prio", "id")
     return hits.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("name", "id")
+
+
+def rewrite_predicates(facts: DataFrame, plan: DataFrame) -> DataFrame:
+    """Facts under a predicate of the plan (old, wide, filled; an old predicate once) take the wide one and the filled value,
+    whatever value they had. ``stale`` marks them, as their entity needs a new summary."""
+    hit = F.col("old").isNotNull()
+    joined = facts.join(plan, facts["predicate"] == plan["old"], "left")
+    return joined.withColumns({"predicate": F.coalesce("wide", "predicate"), "value": F.when(hit, F.col("filled")).otherwise(F.col("value")), "stale": hit}).drop("old", "wide", "filled")

@@ -36,3 +36,8 @@ def update_where(state: DataFrame, condition: Column, column: str, value: Column
     """The new state, and an aggregate that counts the rows it changes."""
     hit = F.coalesce(condition, F.lit(False))
     return state.withColumn(column, F.when(hit, value).otherwise(F.col(column))), F.count_if(hit)
+
+
+def append(stored: DataFrame, batch: DataFrame, **defaults: str) -> DataFrame:
+    """A batch added as it comes; ``defaults`` fill columns that it lacks."""
+    return stored.unionByName(batch.withColumns({k: F.lit(v) for k, v in defaults.items()}), allowMissingColumns=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("graphs", "search", "facts", "temporal", "texts", "tables", "evaluation", "replication", "events", "reviews", "surface")
+MODULES = ("graphs", "search", "facts", "temporal", "texts", "tables", "evaluation", "replication", "events", "reviews", "surface", "lists")
 
 
 def load() -> None:

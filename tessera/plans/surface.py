@@ -27,19 +27,23 @@ def worst_prompt(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").agg(worst.alias("worst"), F.floor(worst / 4).alias("tokens"), (worst / 4 > 8192).alias("over"))
 
 
-@query("SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS x, CAST(4 * len(embedding) AS INT) AS bytes FROM embeddings")
+@query("SELECT vec_id AS id, round(list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b), 4) AS total, true AS same, CAST(4 * len(embedding) AS INT) AS bytes FROM embeddings")
 def vector_blobs(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors packed as little-endian 32-bit floats and read back, in Arrow batches."""
+    """Vectors packed as little-endian 32-bit floats and read back, every component; a batch is one array cut into rows."""
     @F.pandas_udf("binary")
     def pack(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: np.asarray(x, "<f4").tobytes())
+        flat, ends = np.concatenate([*v, []]).astype("<f4").tobytes(), 4 * v.str.len().cumsum()
+        return pd.Series([flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
 
     @F.pandas_udf("array<float>")
     def unpack(b: pd.Series) -> pd.Series:
-        return b.map(lambda x: np.frombuffer(x, "<f4"))
+        ends = (b.str.len() // 4).cumsum()
+        return pd.Series(np.split(np.frombuffer(b"".join(b), "<f4"), ends[:-1]))
 
-    packed = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), pack("embedding").alias("blob"))
-    return packed.select("id", F.round(unpack("blob")[0].cast("double"), 6).alias("x"), F.length("blob").alias("bytes"))
+    packed = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", pack("embedding").alias("blob"))
+    back = packed.withColumn("back", unpack("blob"))
+    total = F.aggregate("back", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select("id", F.round(total, 4).alias("total"), (F.col("back") == F.col("embedding").cast("array<float>")).alias("same"), F.length("blob").alias("bytes"))
 
 
 @query(f"WITH h AS (SELECT 'c:' || CAST(o_custkey AS VARCHAR) AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), t AS (SELECT * FROM h ORDER BY rank LIMIT 100) SELECT CAST(t.rank AS INT) AS rank, t.id, e.canonical_name AS name FROM t JOIN {ENT} e ON t.id = e.id")

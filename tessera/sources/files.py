@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,3 +65,24 @@ def changes_export(entities: DataFrame, facts: DataFrame, since: str, clock: str
     """K17, trap T8: entities in full with vectors as text, facts created since a moment, and the caller's clock as the next cursor."""
     vectors = F.base64(F.to_json("embedding").cast("binary"))
     return entities.withColumn("embedding", vectors), facts.filter(F.col("created_at") >= F.lit(since).cast("timestamp")), clock
+
+
+def change_page(changes: DataFrame, since: int, limit: int) -> DataFrame:
+    """The first ``limit`` changes after a cursor by ``seq``, each with the next cursor and whether more follow."""
+    ahead = changes.filter(F.col("seq") > since).orderBy("seq").limit(limit + 1)  # one more than the page shows if there is more
+    page = Window.orderBy("seq")  # a page's rows
+    ranked = ahead.withColumns({"__n": F.row_number().over(page), "has_more": F.count("*").over(page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > limit})
+    kept = ranked.filter(F.col("__n") <= limit)
+    return kept.withColumn("next", F.max("seq").over(page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("__n")
+
+
+def pull_pages(changes: DataFrame, since: int, limit: int) -> Iterator[tuple[int, DataFrame]]:
+    """Page after page until none is left, with the cursor to store after each. One row a page comes to the driver."""
+    more = True
+    while more:
+        page = change_page(changes, since, limit)
+        head = page.select("next", "has_more").head()
+        if head is None:
+            return
+        since, more = head
+        yield since, page
