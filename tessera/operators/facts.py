@@ -73,6 +73,40 @@ def reroute(df: DataFrame, merges: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def swap_names(notes: DataFrame, names: DataFrame) -> DataFrame:
+    """``notes`` (id, mentions) with old names (old, new; an old name once) replaced, of repeats the first kept. Null and empty lists stay."""
+    each = notes.select("id", F.posexplode("mentions").alias("pos", "old")).join(names, "old", "left")
+    order = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new", "old").alias("name"))))  # the names of one note
+    swapped = each.groupBy("id").agg(F.array_distinct(F.transform(order, lambda x: x["name"])).alias("__new"))
+    return notes.join(swapped, "id", "left").withColumn("mentions", F.coalesce("__new", "mentions")).drop("__new")
+
+
+def accept_merges(entities: DataFrame, facts: DataFrame, relations: DataFrame, notes: DataFrame, merges: DataFrame) -> dict[str, DataFrame]:
+    """the four tables after ``merges`` (absorbed, survivor; an absorbed id once) were accepted.
+
+    Facts and both ends of relations go to the survivor, notes (id unique, mentions: names) name it once, it takes the absorbed
+    names that it lacks as aliases, in their order, and the absorbed entity (id, canonical_name, aliases, merged_into_id) stays as a
+    tombstone. Merges with an unknown side or with itself are left out.
+    """
+    known = entities.select("id", "canonical_name")
+    sides = merges.filter("absorbed <> survivor").join(known.toDF("absorbed", "old"), "absorbed").join(known.toDF("survivor", "new"), "survivor")
+    ids = sides.select("absorbed", "survivor")
+    taken = sides.groupBy(F.col("survivor").alias("id")).agg(F.array_sort(F.collect_set("old")).alias("__taken"))
+    gone = ids.select(F.col("absorbed").alias("id"), F.col("survivor").alias("__to"))
+    aliases = F.coalesce("aliases", F.array().cast("array<string>"))
+    after = entities.join(taken, "id", "left").join(gone, "id", "left").withColumns({
+        "aliases": F.when(F.col("__taken").isNotNull(), F.concat(aliases, F.array_except("__taken", aliases))).otherwise(F.col("aliases")),
+        "merged_into_id": F.coalesce("__to", "merged_into_id"),
+    })
+    names = sides.filter("old <> new").groupBy("old").agg(F.min("new").alias("new"))
+    return {
+        "entities": after.drop("__taken", "__to"),
+        "facts": reroute(facts, ids, "entity_id"),
+        "relations": reroute(relations, ids, "src", "dst"),
+        "notes": swap_names(notes, names),
+    }
+
+
 def one_token_pairs(predicates: DataFrame) -> DataFrame:
     """A, b: predicates of three tokens or more that differ in exactly one, by joining on signatures with a wildcard."""
     tokens = F.split("predicate", "_")

@@ -10,38 +10,46 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def block_knn(queries: DataFrame, vectors: DataFrame, k: int | None, floor: float = -1.0, same_type: bool = False, digits: int = 6) -> DataFrame:
+def block_knn(queries: DataFrame, vectors: DataFrame, k: int | None, floor: float = -1.0, same_type: bool = False, digits: int = 6, unit: str = "id", part: str | None = None) -> DataFrame:
     """q, id, sim, rank: the k vectors of highest cosine for each query (None: all that reach the floor), ties to the smaller id; a query never finds its own id.
 
     Both frames: id, embedding (unit vectors), type.  Vectors of another dimension are skipped; null and empty
     vectors take no part.  Both sides are dealt to blocks of bounded size and every pair of blocks is one group,
     so no side is broadcast and none is gathered whole.
+
+    ``unit``: a column of ``vectors`` that is found in place of id, by the best of its vectors (chunks of a note); a unit lies
+    in one block.  ``part``: a whole-number column without nulls, each value of which has k hits of its own; added to the result.
     """
-    usable = "embedding is not null and size(embedding) > 0"
-    left, right = (d.filter(usable).select("id", "embedding", "type", F.size("embedding").alias("dim")) for d in (queries, vectors))
+    usable = F.expr("embedding is not null and size(embedding) > 0")
+    own = [F.col(c).alias(c) for c in ("id", "embedding", "type")]  # columns of its own, as both frames may come from one
+    left = queries.filter(usable).select(*own, F.size("embedding").alias("dim"))
+    section = F.col(part).cast("int") if part else F.lit(0)
+    right = vectors.filter(usable).select("id", "embedding", "type", F.size("embedding").alias("dim"), F.col(unit).alias("unit"), section.alias("part"))
     n_left, n_right = -(-left.count() // BLOCK) or 1, -(-right.count() // BLOCK) or 1
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = left.withColumn("lb", deal(n_left)).withColumn("rb", each(n_right))
-    right = right.withColumn("rb", deal(n_right)).withColumn("lb", each(n_left))
+    left = left.withColumn("lb", deal("id", n_left)).withColumn("rb", each(n_right))
+    right = right.withColumn("rb", deal("unit", n_right)).withColumn("lb", each(n_left))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
-        if a.empty or b.empty:
-            return empty
-        x, y = (np.stack(d["embedding"].to_list()).astype(np.float64) for d in (a, b))
-        sims, q, ids = np.round(x @ y.T, digits), a["id"].to_numpy(), b["id"].to_numpy()
-        fit = (q[:, None] != ids) & (sims >= floor)
-        if same_type:
-            fit &= a["type"].to_numpy()[:, None] == b["type"].to_numpy()
-        if k is not None and k < len(ids):  # at or above the k-th of a row; ties are cut below, by id
-            ranked = np.where(fit, sims, -np.inf)
-            fit &= sims >= np.partition(ranked, len(ids) - k, axis=1)[:, [len(ids) - k]]
-        i, j = np.nonzero(fit)
-        found = pd.DataFrame({"q": q[i], "id": ids[j], "sim": sims[i, j]})
-        return found if k is None else found.sort_values(["q", "sim", "id"], ascending=[True, False, True]).groupby("q").head(k)
-
-    found = left.groupBy("dim", "lb", "rb").cogroup(right.groupBy("dim", "lb", "rb")).applyInPandas(best, "q long, id long, sim double")
-    order = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= (2**31 - 1 if k is None else k))
+        out = [pd.DataFrame({"part": pd.Series(dtype="int32"), "q": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})]
+        x, q = (np.stack(a["embedding"].to_list()).astype(np.float64), a["id"].to_numpy()) if len(a) else (None, None)
+        for number, g in b.sort_values("unit", kind="stable").groupby("part") if len(a) else ():
+            sims = np.round(x @ np.stack(g["embedding"].to_list()).astype(np.float64).T, digits)
+            fit = (q[:, None] != g["id"].to_numpy()) & (sims >= floor)
+            if same_type:
+                fit &= a["type"].to_numpy()[:, None] == g["type"].to_numpy()
+            units, starts = np.unique(g["unit"].to_numpy(), return_index=True)
+            top = np.maximum.reduceat(np.where(fit, sims, -np.inf), starts, axis=1)
+            hit = top > -np.inf
+            if k is not None and k < len(units):  # at or above the k-th of a row; ties are cut below, by id
+                hit &= top >= np.partition(top, len(units) - k, axis=1)[:, [len(units) - k]]
+            i, j = np.nonzero(hit)
+            found = pd.DataFrame({"part": np.int32(number), "q": q[i], "id": units[j], "sim": top[i, j]})
+            out.append(found if k is None else found.sort_values(["q", "sim", "id"], ascending=[True, False, True]).groupby("q").head(k))
+        return pd.concat(out)
+
+    found = left.groupBy("dim", "lb", "rb").cogroup(right.groupBy("dim", "lb", "rb")).applyInPandas(best, "part int, q long, id long, sim double")
+    order = Window.partitionBy("part", "q").orderBy(F.desc("sim"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= (2**31 - 1 if k is None else k))
+    return ranked.withColumnRenamed("part", part) if part else ranked.drop("part")

@@ -100,6 +100,38 @@ def merge_reroute(spark: SparkSession, d: str) -> DataFrame:
     return ops.reroute(frame(spark, d, "relations").select("src", "dst"), merges, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+CUST = "'Customer#' || lpad(CAST({} AS VARCHAR), 9, '0')"
+TWO = f"[{CUST.format('CASE WHEN o_custkey % 29 = 28 THEN o_custkey - 1 ELSE o_custkey END')}, {CUST.format('CASE WHEN o_custkey % 29 = 0 AND o_custkey > 0 THEN o_custkey - 2 ELSE o_custkey - 1 END')}]"
+
+
+def merged(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """All merges of the binding accepted at once: customers whose key leaves 28 by 29 are absorbed by the one before."""
+    e = frame(spark, d, "entities").filter("id like 'c:%'").select("id", "canonical_name", F.array(F.lower("canonical_name")).alias("aliases"), F.lit(None).cast("string").alias("merged_into_id"))
+    merges = frame(spark, d, "entities").filter("id like 'c:%' and merged_into_id is not null").select(F.col("id").alias("absorbed"), F.col("merged_into_id").alias("survivor"))
+    name = "'Customer#' || lpad(CAST({} AS STRING), 9, '0')".format
+    notes = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.expr(name("o_custkey")), F.expr(name("o_custkey - 1"))).alias("mentions"))
+    return ops.accept_merges(e, frame(spark, d, "facts").select("id", "entity_id"), frame(spark, d, "relations").select("src", "dst"), notes, merges)
+
+
+@query(f"SELECT f.id, coalesce(m.survivor, f.entity_id) AS entity_id FROM {FACTS} f LEFT JOIN {MERGES} m ON f.entity_id = m.absorbed")
+def merge_accept_facts(spark: SparkSession, d: str) -> DataFrame:
+    """facts of the absorbed are the survivor's."""
+    return merged(spark, d)["facts"]
+
+
+@query(f"""SELECT 'c:' || c.c_custkey AS id, lower(c.c_name) || CASE WHEN a.c_name IS NULL THEN '' ELSE '|' || a.c_name END AS aliases, CASE WHEN c.c_custkey % 29 = 28 THEN 'c:' || (c.c_custkey - 1) END AS merged_into_id
+FROM customer c LEFT JOIN customer a ON a.c_custkey = c.c_custkey + 1 AND a.c_custkey % 29 = 28""")
+def merge_accept_entities(spark: SparkSession, d: str) -> DataFrame:
+    """the survivor takes the absorbed name as an alias, the absorbed is a tombstone."""
+    return merged(spark, d)["entities"].select("id", F.array_join("aliases", "|").alias("aliases"), "merged_into_id")
+
+
+@query(f"SELECT o_orderkey AS id, array_to_string(CASE WHEN t[1] = t[2] THEN [t[1]] ELSE t END, '|') AS mentions FROM (SELECT o_orderkey, {TWO} AS t FROM orders)")
+def merge_accept_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes name the survivor where they named the absorbed, once."""
+    return merged(spark, d)["notes"].select("id", F.array_join("mentions", "|").alias("mentions"))
+
+
 @query(f"SELECT id, CASE predicate WHEN '1-URGENT' THEN '2-HIGH' ELSE predicate END AS predicate FROM {FACTS} f")
 def predicate_rename(spark: SparkSession, d: str) -> DataFrame:
     """One predicate is renamed everywhere."""
