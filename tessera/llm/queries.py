@@ -8,6 +8,7 @@ from .jaccard import OP9_SQL, op9_jaccard_join
 from .mixing import OP2_SQL, op2_mix_sources
 from .outliers import op4_robust_outliers
 from .packing import op3_pack_documents
+from .phrases import OP11_SQL, op11_phrase_mining
 from .pii import op7_find_pii
 from .qda import op8_quality_classifier
 from .tokencount import op10_count_tokens
@@ -26,6 +27,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_jaccard_join,
         op10_count_tokens,
+        op11_phrase_mining,
     )
 }
-ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op5_topk_search": OP5_SQL, "op9_jaccard_join": OP9_SQL}
+ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op5_topk_search": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op11_phrase_mining": OP11_SQL}
