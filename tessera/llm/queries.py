@@ -11,6 +11,8 @@ from .packing import op3_pack_documents
 from .phrases import OP11_SQL, op11_phrase_mining
 from .pii import op7_find_pii
 from .qda import op8_quality_classifier
+from .sketches import OP12_SQL, op12_sketch_dedup
+from .spelling import OP13_SQL, op13_spelling_variants
 from .tokencount import op10_count_tokens
 from .topk import OP5_SQL, op5_topk_search
 
@@ -28,6 +30,8 @@ QUERIES = {
         op9_jaccard_join,
         op10_count_tokens,
         op11_phrase_mining,
+        op12_sketch_dedup,
+        op13_spelling_variants,
     )
 }
-ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op5_topk_search": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op11_phrase_mining": OP11_SQL}
+ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op5_topk_search": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op11_phrase_mining": OP11_SQL, "op12_sketch_dedup": OP12_SQL, "op13_spelling_variants": OP13_SQL}
