@@ -7,10 +7,10 @@
 2.  Equal sets become one node (128-bit digest).  BANDS bands of ROWS registers name the buckets in which nodes
     meet.  Two sets of similarity 0.8 share a bucket but for odds of (1 - 0.8 ** ROWS) ** BANDS = 4e-9; unrelated ones
     (0.05) share one with odds of 1e-6.
-3.  In each bucket all nodes meet its smallest one.  The likelihood of how many registers are larger, equal and
+3.  All nodes of a bucket meet its smallest one, the hub; the nodes of all of a hub's buckets are its region.  The likelihood of how many registers are larger, equal and
     smaller, given both sizes, has its maximum at the estimate of the similarity; pairs whose estimate is more than
     SLACK below the limit go, the others are confirmed on whole sets.
-4.  What a bucket holds besides meets in blocks, exactly, where it is not connected yet; pairs are never listed.
+4.  What a region holds besides meets in blocks, exactly, where it is not connected yet; pairs are never listed.
 5.  Components of the links give every document's class.
 
 Edge cases: text that is null, empty or without words has no shingles and links with nothing; fewer words than a shingle
@@ -162,31 +162,38 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
     of_digest = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     nodes = scratch.keep(of_digest.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = banded(nodes)
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("c")).filter("hub < last").drop("last")
-    met = scratch.keep(bands.join(hubs, "key").filter("node <> hub").select("key", "hub", "node", "c"), "met")
-    pairs = met.select(F.col("hub").alias("p"), F.col("node").alias("x")).distinct()
-    close = scratch.keep(likely(pairs, nodes, percent / 100 - SLACK), "likely")
-    # whole sets: of the nodes of likely pairs, and of those that share a bucket of more than two
-    some = close.select(F.col("p").alias("node")).union(close.select("x")).union(met.filter("c > 2").select("node")).distinct()
+    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").drop("last")
+    # a hub's region: the nodes of all its buckets, once each; two nodes of one bucket are in one region
+    met = bands.join(hubs, "key").filter("node <> hub").groupBy(F.col("hub").alias("p"), F.col("node").alias("x")).agg(F.lit(True).alias("met")).select("p", "x")
+    met = scratch.keep(met, "met")
+    close = scratch.keep(likely(met, nodes, percent / 100 - SLACK), "likely")
+    # whole sets: of the nodes of likely pairs, and of those in a region of more than the hub and one
+    several = met.groupBy("p").agg(F.count("*").alias("c")).filter("c > 1").select("p")
+    rest = met.join(several, "p").select(F.col("p").alias("region"), F.col("x").alias("node"))
+    some = close.select(F.col("p").alias("node")).union(close.select("x")).union(rest.select("node")).distinct()
     wanted = scratch.keep(nodes.join(some, "node").select("node", "digest", null_safe(F.col("least")).alias("id")), "wanted")
     texts = docs.select(null_safe(F.col("doc_id")).alias("id"), "text").hint("merge").join(wanted.select("id").distinct(), "id", "left_semi")
     sets = scratch.keep(whole_sets(texts, words).join(wanted.select("node", "digest"), "digest").dropDuplicates(["node"]).select("node", "n", "shingles"), "sets")
-    links = [scratch.keep(with_distance(close, sets, percent).filter("link").select("p", "x"), "links")]
-    label = scratch.keep(near_labels(links[0]), "near")
-    # the hub has met all others of its bucket; these must meet where they are of several classes
-    named = met.filter("c > 2").select(F.col("key").alias("region"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = named.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("region")
-    rest = scratch.keep(named.join(apart, "region").select("region", "node", F.lit(0.0).alias("d"), "label"), "rest")
+    links = scratch.keep(with_distance(close, sets, percent).filter("link").select("p", "x"), "links")
+    # the hub has met all others of its region; these must meet where they are of several classes
+    rest = scratch.keep(undecided(rest, scratch.keep(near_labels(links), "near")), "rest")
     if not rest.isEmpty():
-        links.append(scratch.keep(meet_in_blocks(rest, sets, percent, scratch), "blocks").toDF("p", "x"))
-    every = links[0] if len(links) == 1 else links[0].union(links[1])
-    found = scratch.keep(components(every.toDF("a", "b"), scratch, "all"), "all")
+        links = links.union(scratch.keep(meet_in_blocks(rest, sets, percent, scratch), "blocks").toDF("p", "x"))
+    found = components(links.toDF("a", "b"), scratch, "all")
+    found = scratch.keep(found, "all")
     named = scratch.keep(nodes.select("node", "digest", "least").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     ids = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("digest", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(ids, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def undecided(rest: DataFrame, found: DataFrame) -> DataFrame:
+    """region, node, d, label of the regions whose nodes are of several classes (``found``: node, label); d is 0, as all of them may be near."""
+    named = rest.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = named.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("region")
+    return named.join(apart, "region").select("region", "node", F.lit(0.0).alias("d"), "label")
+
+
 def whole_sets(docs: DataFrame, words: int) -> DataFrame:
     """digest, n, shingles of every text that has any."""
 
