@@ -1,4 +1,4 @@
-"""Capture intake as streams: K01 within a horizon, trigger valve, windows over events (extensions: the reference polls)."""
+"""Capture intake as streams: K01 within a horizon, windows over events (extensions; the trigger and its valve are in ``trigger``)."""
 
 from __future__ import annotations
 
@@ -26,16 +26,3 @@ def tumbling(events: DataFrame, size: str, late: str) -> DataFrame:
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return w.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
-
-
-def run_with_valve(events: DataFrame, checkpoint: str, consolidate, most: int = 14) -> None:
-    """Scheduled passes as ``availableNow`` runs; a micro-batch at or over the valve's size is consolidated, a smaller one waits.
-
-    ``consolidate(batch, batch_id)`` must write to a place named by the batch id, so that a replay overwrites.
-    """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch.count() >= most:
-            consolidate(batch, batch_id)
-
-    events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
