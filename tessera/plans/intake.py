@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tessera.functions.text import ENDINGS, PREFIXES, SUFFIXES
 from tessera.operators import golden, planning, predicates, replay
 from tessera.operators.knn import block_knn
 from tessera.sources.bind import frame, table
-from tessera.streaming import trigger
+from tessera.streaming import offers, trigger
 
 _SLOTS = "[date_trunc('day', x) + INTERVAL (h) HOUR FOR h IN [-24, -12, 0, 12, 24, 36]]"
 _BEFORE = f"list_max(list_filter({_SLOTS}, lambda s: s <= x))"
@@ -201,3 +203,18 @@ SELECT "table", count(*) AS n, CAST(sum(CAST(('0x' || substring(sha256(row), 1,
 def golden_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """One number a table of a normalised state, the same for any ids."""
     return golden.fingerprint(golden.normalised(state_of(spark, d, "c"), STATE))
+
+
+@query("""
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, event_type = 'signup' AS offered, ts FROM events WHERE event_type IN ('signup', 'purchase')),
+w AS (SELECT *, last_value(CASE WHEN offered THEN id END IGNORE NULLS) OVER o AS oid, last_value(CASE WHEN offered THEN ts END IGNORE NULLS) OVER o AS ots, lead(ts) OVER (PARTITION BY key, offered ORDER BY ts, id) AS newer
+      FROM e WINDOW o AS (PARTITION BY key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT key, id, oid, coalesce(ts <= ots + INTERVAL 36 HOUR, FALSE) AS fits, ts FROM w WHERE NOT offered),
+t AS (SELECT *, fits AND row_number() OVER (PARTITION BY key, oid, fits ORDER BY ts, id) = 1 AS taken FROM a),
+l AS (SELECT key, id AS offer, CASE WHEN newer <= ts + INTERVAL 36 HOUR THEN 'replaced' WHEN ts + INTERVAL 36 HOUR < TIMESTAMP '2024-01-29 12:00:00' THEN 'expired' END AS outcome FROM w WHERE offered AND NOT EXISTS (SELECT 1 FROM t WHERE t.key = w.key AND t.oid = w.id AND t.taken))
+SELECT key, id, CASE WHEN taken THEN oid END AS offer, CASE WHEN taken THEN 'taken' ELSE 'refused' END AS outcome FROM t UNION ALL SELECT key, NULL, offer, outcome FROM l WHERE outcome IS NOT NULL""")
+def offer_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """A signup is an offer open for a day and a half, a purchase takes it; what became of each at a given moment."""
+    e = table(spark, d, "events").filter("event_type in ('signup', 'purchase')")
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), (F.col("event_type") == "signup").alias("offered"), F.col("ts").alias("at"))
+    return offers.outcomes(rows, timedelta(hours=36), "2024-01-29 12:00:00")

@@ -18,11 +18,16 @@ def idempotent(events: DataFrame, horizon: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def tumbling(events: DataFrame, size: str, late: str) -> DataFrame:
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def marked(events: DataFrame, late: str | None) -> DataFrame:
+    """The stream with a watermark; None: it has one, as Spark allows only one a column."""
+    return events.withWatermark("ts", late) if late else events
+
+
+def tumbling(events: DataFrame, size: str, late: str | None = None) -> DataFrame:
+    w = marked(events, late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
-    w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
+    w = marked(events, late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return w.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
