@@ -40,18 +40,20 @@ class Found:
 
 
 def pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """By dimension, PIVOTS unit vectors: centres of a seeded sample of at most SAMPLE vectors, moved three times to the mean of their cells."""
+    """By dimension, up to PIVOTS unit vectors: centres of a seeded sample of at most SAMPLE vectors, moved three times to the mean of their cells."""
     order = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id")
     sample = vectors.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE).select("dim", "embedding").toPandas()
+    sizes = {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}
     out = {}
     for dim, g in sample.groupby("dim"):
+        most = min(PIVOTS, 4 * -(-sizes[dim] // BLOCK))  # no more cells than blocks make sense of
         x = np.stack(g["embedding"].to_list()).astype(np.float64)
         x = x[np.linalg.norm(x, axis=1) > 0]
         if not len(x):
             continue
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         centres = x[:1]
-        while len(centres) < min(PIVOTS, len(x)):  # the vector farthest from all centres is the next
+        while len(centres) < min(most, len(x)):  # the vector farthest from all centres is the next
             centres = np.vstack([centres, x[np.argmin((x @ centres.T).max(axis=1))]])
         for _ in range(3):
             own = (x @ centres.T).argmax(axis=1)
@@ -81,8 +83,9 @@ def celled(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
 
 
 def blocked(rows: DataFrame, name: str) -> DataFrame:
-    """Adds ``name``, a block of about BLOCK vectors of one dimension, cell and ring."""
-    ringed = rows.withColumn("ring", F.floor(F.col("angle") / np.pi * RINGS).cast("int"))
+    """Adds ``name``, a block of about BLOCK vectors of one dimension and cell; cells of more than BLOCK are cut into rings first."""
+    large = rows.groupBy("dim", "cell").agg((F.count("*") > BLOCK).alias("large"))  # a row a cell
+    ringed = rows.join(large, ["dim", "cell"]).withColumn("ring", F.when(F.col("large"), F.floor(F.col("angle") / np.pi * RINGS)).otherwise(0).cast("int")).drop("large")
     sizes = ringed.groupBy("dim", "cell", "ring").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     return ringed.join(sizes, ["dim", "cell", "ring"]).withColumn(name, F.xxhash64("dim", "cell", "ring", F.pmod(F.xxhash64("id"), "parts"))).drop("parts", "ring")
 
