@@ -60,9 +60,27 @@ def null_safe(c: Column) -> Column:
 
 
 def row_sum(df: DataFrame) -> Column:
-    """A checksum of whole rows, to tell apart rows with equal or null ids. Null and an absent value differ; maps are left out."""
-    hashable = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    return F.xxhash64(*[x for c in hashable for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+    """A checksum of whole rows, to tell apart rows with equal or null ids. Null and an absent value differ; maps and variants count as JSON."""
+
+    def value(c: str, kind: str) -> Column:
+        return F.to_json(F.struct(F.col(f"`{c}`").alias("v")), {"ignoreNullFields": "false"}) if "map<" in kind or "variant" in kind else F.col(f"`{c}`")
+
+    return F.xxhash64(*[x for c, t in df.dtypes for x in (value(c, t), F.col(f"`{c}`").isNull())])
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one value, so that names of ours cannot clash with the caller's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def repeated(df: DataFrame, times: str, number: str, at_once: int = 1000) -> DataFrame:
+    """Each row ``times`` times, with a number from 0. What is to be repeated very often is dealt to other tasks on the way."""
+    last = F.floor((F.col(times) - 1) / at_once).cast("long")
+    few = df.filter(F.col(times).between(1, at_once)).withColumn("__block", F.lit(0).cast("long"))
+    many = df.filter(F.col(times) > at_once).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    many = many.repartition(F.xxhash64(F.rand(7)))
+    ends = F.least(F.col(times), (F.col("__block") + 1) * at_once) - 1
+    return few.unionByName(many).withColumn(number, F.explode(F.sequence(F.col("__block") * at_once, ends))).drop("__block")
 
 
 def arrow_batches(df: DataFrame, rows: int = 512) -> DataFrame:

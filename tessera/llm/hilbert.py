@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, row_sum, table
+from .common import Scratch, repeated, row_sum, table, whole_row
 
 SHARDS = 8
 BITS = 4
@@ -93,12 +93,12 @@ def curve_index(df: DataFrame, coords: list[str], bits: int, out: str) -> DataFr
 
 
 def hilbert_positions(df: DataFrame, dims: list[str], ties: list[str], scratch: Scratch, bits: int = BITS) -> DataFrame:
-    """``df`` (narrow) with ``curve`` and ``position``: 0, 1, 2, ... along the curve, ties in the order of ``ties``."""
+    """``df`` (narrow) with ``curve`` and ``position``: 0, 1, 2, ... along the curve, ties by a hash of the first of ``ties``, then in their order, so rows equal in it lie together."""
     borders = cut_points(df, dims, bits)
     key = lambda d: F.col(d) if isinstance(df.schema[d].dataType, T.StringType) else F.col(d).cast("double")
     cells = df.withColumns({f"__c{i}": cell(key(d), b) for i, (d, b) in enumerate(zip(dims, borders, strict=True))})
     curved = curve_index(cells, [f"__c{i}" for i in range(len(dims))], bits, "curve").drop(*[f"__c{i}" for i in range(len(dims))])
-    placed = scratch.keep(curved.orderBy("curve", F.xxhash64(*ties), *[F.col(t).asc_nulls_first() for t in ties]).withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    placed = scratch.keep(curved.orderBy("curve", F.xxhash64(ties[0]), *[F.col(t).asc_nulls_first() for t in ties]).withColumn("__at", F.monotonically_increasing_id()), "sorted")
     placed = placed.withColumns({"__part": F.shiftright(F.col("__at"), 33), "__row": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("__part").agg(F.count("*").alias("__n"))
@@ -117,16 +117,22 @@ def write_shards(df: DataFrame, dims: list[str], path: str, scratch: Scratch, sh
     """Writes the rows of ``df`` to one folder a shard, in the order of the curve, so that files carry tight statistics.
 
     Rows are told apart by their checksum; equal rows lie side by side on the curve, so their places are one interval,
-    and one of them is written for each place.
+    and one of them is written for each place.  The folders' column is ``shard``, the place within is ``slot``; where ``df`` has
+    such columns, ours have underscores before them.
     """
-    keyed = df.withColumn("__sum", row_sum(df))
-    narrow = scratch.keep(keyed.select(*dims, "__sum"), "narrow")
-    places = cut_runs(hilbert_positions(narrow, dims, ["__sum"], scratch), narrow.count(), shards)
-    spans = places.groupBy("__sum").agg(F.min("position").alias("__lo"), F.max("position").alias("__hi"))
-    rows = keyed.dropDuplicates(["__sum"]).join(spans, "__sum")
-    rows = cut_runs(rows.withColumn("position", F.explode(F.sequence("__lo", "__hi"))), narrow.count(), shards)
-    rows = rows.drop("__sum", "__lo", "__hi", "position")
-    rows.repartitionByRange(4 * shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    keyed = df.select(whole_row(df).alias("row"), row_sum(df).alias("sum"))
+    narrow = scratch.keep(keyed.select(*[F.col("row").getField(d).alias(f"d{i}") for i, d in enumerate(dims)], "sum"), "narrow")
+    places = hilbert_positions(narrow, [f"d{i}" for i in range(len(dims))], ["sum"], scratch)
+    spans = places.groupBy("sum").agg(F.min("position").alias("lo"), F.count("*").alias("times"))
+    rows = repeated(keyed.dropDuplicates(["sum"]).join(spans, "sum"), "times", "number")
+    rows = cut_runs(rows.withColumn("position", F.col("lo") + F.col("number")), narrow.count(), shards)
+    names = []
+    for name in ("shard", "slot"):
+        while name in df.columns:
+            name = f"_{name}"
+        names.append(name)
+    rows = rows.select("row.*", F.col("shard").alias(names[0]), F.col("slot").alias(names[1]))
+    rows.repartitionByRange(4 * shards, *names).sortWithinPartitions(*names).write.partitionBy(names[0]).parquet(path)
 
 
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +140,6 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     scratch = Scratch(spark, "op6")
     narrow = scratch.keep(docs, "narrow")
-    placed = hilbert_positions(narrow, ["lang", "source", "size"], ["doc_id", "text_crc32", "size"], scratch)
+    placed = hilbert_positions(narrow, ["lang", "source", "size"], ["text_crc32", "doc_id", "size"], scratch)
     out = cut_runs(placed, narrow.count(), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

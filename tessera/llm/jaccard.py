@@ -7,7 +7,7 @@ Jaccard distance (1 - similarity) is a metric; two sets link at distance EPS or
     size only; a partner shares all but EPS of the set, so a node that misses more than that many of them in
     all other nodes together is out.  What is left ("candidates") is a share of the corpus, and only their whole
     sets are formed.  The same test is repeated on whole sets.
-3.  Recursion over the candidates.  A level draws pivots by a seeded hash, and finds their exact distances to
+3.  Recursion over the candidates.  A level draws pivots by a seeded hash (a quarter of its nodes at most), and finds their exact distances to
     all that lie within 3 EPS (a join on the pivots' rarest shingles, as many as no such pair can miss; all
     other distances are known to be larger).  Pivots within 2 EPS of another are ordinary nodes again.  Nodes within 2 EPS of a pivot leave for the Voronoi cell of
     their nearest one.  By the triangle inequality a partner of a member of cell p lies within 3 EPS of p, and one
@@ -40,12 +40,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, null_safe, row_sum, table
+from .common import Scratch, arrow_batches, null_safe, row_sum, table, whole_row
 from .components import components
 
 WORDS = 4
 PERCENT = 85
 PIVOTS, GROWTH, REGION_PIVOTS = 32, 32, 4
+#: No level but the last makes more than this share of its nodes pivots.
+MOST_PIVOTS = 0.25
 POSTINGS_A_TASK = 4096
 BLOCK, ROWS_A_TASK, COLUMNS = 512, 2000, 4096
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -210,10 +212,10 @@ def split_root(index: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
     eps, links, regions = (100 - percent) / 100, [], []
     here, level = index, 0
     while n := here.select("node").distinct().count():
-        if n <= max(BLOCK, PIVOTS * GROWTH**level):  # all are pivots: all meet
+        if n <= PIVOTS or level and n <= PIVOTS * GROWTH**level:  # all are pivots: all meet
             links.append(scratch.keep(with_distance(prefix_pairs(here, here, percent, True), sets, percent).filter("link").select("p", "x"), "last"))
             break
-        pivots = sparse_pivots(here, sets, level, PIVOTS * GROWTH**level / n, percent, scratch)
+        pivots = sparse_pivots(here, sets, level, min(MOST_PIVOTS, PIVOTS * GROWTH**level / n), percent, scratch)
         others = here.join(pivots, "node", "left_anti")
         near = with_distance(prefix_pairs(here.join(pivots, "node", "left_semi"), others, percent, False), sets, percent)
         met = scratch.keep(near.filter(F.col("d") <= 3 * eps + 1e-9), f"met{level}")
@@ -399,11 +401,11 @@ def keep_one(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_sum", "equal"))
     stay = row.join(label, "node").groupBy("label").agg(first.alias("s")).select("s.doc_id", "s.row_sum", "s.equal")
     none = shown.filter("n = 0").select("doc_id", "row_sum", F.lit(1).cast("long").alias("equal")).distinct()
-    stay = scratch.keep(stay.unionByName(none).select(null_safe(F.col("doc_id")).alias("__id"), F.col("row_sum").alias("__sum"), F.col("equal").alias("__equal")), "stay")
-    keyed = docs.withColumns({"__id": null_safe(F.col("doc_id")), "__sum": row_sum(docs)})
-    kept = keyed.join(stay, ["__id", "__sum"])
-    repeated = kept.filter("__equal > 1").dropDuplicates(["__id", "__sum"])
-    return kept.filter("__equal = 1").unionByName(repeated).select(*docs.columns)
+    stay = scratch.keep(stay.unionByName(none).select(null_safe(F.col("doc_id")).alias("id"), "row_sum", "equal"), "stay")
+    keyed = docs.select(whole_row(docs).alias("row"), null_safe(F.col("doc_id")).alias("id"), row_sum(docs).alias("row_sum"))
+    kept = keyed.join(stay, ["id", "row_sum"])
+    repeats = kept.filter("equal > 1").dropDuplicates(["id", "row_sum"])
+    return kept.filter("equal = 1").unionByName(repeats).select("row.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

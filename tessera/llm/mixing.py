@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, null_safe, row_sum, table, word_count
+from .common import Scratch, null_safe, repeated, row_sum, table, whole_row, word_count
 
 #: Weights dealt to the sources in code point order, again and again.
 WEIGHTS = (3, 1, 2)
@@ -96,16 +96,15 @@ def repeat_rows(docs: DataFrame, scratch: Scratch, seed: str = SEED) -> DataFram
     plan = plan_mix(docs, scratch, seed, cut_border=False).withColumn("at", place(F.col("h"), F.col("size"), F.col("row")))
     per = plan.groupBy("skey", "at").agg(F.max("epochs").alias("epochs"), F.count("*").alias("equal"), F.count_if(F.col("extra") > 0).alias("due"))
     last = F.max(F.when(F.col("due") > 0, F.struct("at", "equal", "due")))
-    ends = per.groupBy(F.col("skey").alias("__source")).agg(F.max("epochs").alias("__epochs"), last.alias("__last"))
+    ends = per.groupBy(F.col("skey").alias("key")).agg(F.max("epochs").alias("epochs"), last.alias("last"))
     ends = scratch.keep(ends, "ends")
-    keyed = docs.select("*", null_safe(F.col("source")).alias("__source"), word_count(F.col("text")).alias("__size"), row_sum(docs).alias("__sum"))
-    out = keyed.join(ends, "__source").withColumn("__place", place(seeded(seed, F.col("__sum")), F.col("__size"), F.col("__sum")))
-    some = F.coalesce((F.col("__place") == F.col("__last.at")) & (F.col("__last.due") < F.col("__last.equal")), F.lit(False))
-    extra = (F.col("__size") > 0) & F.coalesce(F.col("__place") <= F.col("__last.at"), F.lit(False))
-    most = out.filter(~some).withColumn("__times", F.col("__epochs") + extra.cast("long"))
-    rest = out.filter(some).dropDuplicates(["__source", "__sum"]).withColumn("__times", F.col("__epochs") * F.col("__last.equal") + F.col("__last.due"))
-    out = most.unionByName(rest).filter("__times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    keyed = docs.select("doc_id", whole_row(docs).alias("row"), null_safe(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), row_sum(docs).alias("sum"))
+    out = keyed.join(ends, "key").withColumn("place", place(seeded(seed, F.col("sum")), F.col("size"), F.col("sum")))
+    some = F.coalesce((F.col("place") == F.col("last.at")) & (F.col("last.due") < F.col("last.equal")), F.lit(False))
+    extra = (F.col("size") > 0) & F.coalesce(F.col("place") <= F.col("last.at"), F.lit(False))
+    most = out.filter(~some).withColumn("times", F.col("epochs") + extra.cast("long"))
+    rest = out.filter(some).dropDuplicates(["key", "sum"]).withColumn("times", F.col("epochs") * F.col("last.equal") + F.col("last.due"))
+    return repeated(most.unionByName(rest).select("row", "times"), "times", "copy").select("row.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,17 +48,21 @@ class Encoder(dict):
 
         self.tokenizer, self.recent = Tokenizer.from_file(file), {}
         self.ends = {c: self.encoded(c) for c in ".,"}
+        probes = ("The", "word", "Zebra9", "x", "unbelievable", "ABC")
+        if any(self.encoded(f"{a} {b}") != self.encoded(a) + self.encoded(b) for a in probes for b in (*probes, ".", ",")):
+            raise ValueError("a token of this tokenizer spans white space")
+        self.splits = all(self.encoded(p + c) == self.encoded(p) + e for p in probes for c, e in self.ends.items())
+        self.folds = all(self.encoded(p) == self.encoded(p.lower()) for p in probes)
 
     def encoded(self, item: str) -> bytes:
         return np.array(self.tokenizer.encode(item, add_special_tokens=False).ids, "<u4").tobytes() if item else b""
 
-    @staticmethod
-    def stem(item: str) -> str:
-        """The lower-case item without a stop or comma at its end, where that is sure to keep the ids; else the item."""
-        body = item[:-1] if item[-1:] in ENDS else item
+    def stem(self, item: str) -> str:
+        """The lower-case item without a stop or comma at its end, where this tokenizer is sure to give the same ids; else the item."""
+        body = item[:-1] if self.splits and item[-1:] in ENDS else item
         if not body.lower().isalnum():
             return item
-        return body.lower() if body.isascii() else body
+        return body.lower() if self.folds and body.isascii() else body
 
     @staticmethod
     def plain(item: str) -> bool:

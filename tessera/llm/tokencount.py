@@ -40,7 +40,7 @@ from .common import arrow_batches, table
 LIMIT = 4096
 CHUNK, MARKS = 4096, 256
 START = ("", ((None, 0),))
-MAX_STATES, MAX_ITEMS, MAX_PAIRS = 300_000, 500_000, 500_000
+MAX_STATES, MAX_ITEMS, MAX_PAIRS, LONGEST_KEPT = 300_000, 500_000, 500_000, 64
 SPACE = "▁"
 BREAK = re.compile("(?<=[^ ]) |\n")
 SIMPLE = re.compile(" +[^ \n]*|\n[^ \n]*")
@@ -200,10 +200,12 @@ class Counter(dict):
             raise ValueError("a token of this vocabulary spans a break")
 
     def __missing__(self, item: str) -> int:
-        if len(self) >= MAX_ITEMS:
-            self.clear()
         spaced = item if item[:1] in (" ", "\n") else " " + item
-        n = self[item] = self.transducer.read(START, spaced.replace(" ", SPACE))[1]
+        n = self.transducer.read(START, spaced.replace(" ", SPACE))[1]
+        if len(item) <= LONGEST_KEPT:  # so that what is remembered has a bound in characters
+            if len(self) >= MAX_ITEMS:
+                self.clear()
+            self[item] = n
         return n
 
     def items_of(self, spaced: str) -> int:
