@@ -67,7 +67,7 @@ AXES = (
     ("obsoletes", "NEG-b"), ("no_obsolete", "NEG-c"), ("cancels", "NEG-d"), ("no_cancel", "NEG-d"), ("memories", "X-ONE"),
     ("renamed_to", "PER-b"), ("no_rename", "PER-b"), ("drop_guard", "perte"),
 )
-ANSWER = "entities array<struct<name string, facts array<struct<predicate string, value string>>>>, relations array<struct<source string>>"
+ANSWER = "entities array<struct<canonical_name string, facts array<struct<predicate string, value string>>>>, relations array<struct<source string>>"
 
 
 def asserted_axes(cases: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def asserted_axes(cases: DataFrame) -> DataFrame:
 def nested_facts(answers: DataFrame) -> DataFrame:
     """A row a fact of the entities in an answer (id, answer: JSON); entities without facts have none."""
     entity = answers.select("id", F.explode(F.from_json("answer", ANSWER)["entities"]).alias("e"))
-    return entity.select("id", F.col("e.name").alias("entity"), F.explode("e.facts").alias("f")).select("id", "entity", "f.predicate", "f.value")
+    return entity.select("id", F.col("e.canonical_name").alias("entity"), F.explode("e.facts").alias("f")).select("id", "entity", "f.predicate", "f.value")
 
 
 def durable_count(answer: Column) -> Column:

@@ -28,7 +28,7 @@ SLACK = 1e-4
 
 @dataclass
 class Found:
-    """``hits``: q, id, sim, rank.  ``pairs``: dim, qb, vb, round: the pairs of blocks, met in round 1 or 2, or skipped (0)."""
+    """``hits``: q, id, sim, and rank where k is given.  ``pairs``: dim, qb, vb, round: the pairs of blocks, met in round 1 or 2, or skipped (0)."""
 
     hits: DataFrame
     pairs: DataFrame
@@ -167,6 +167,8 @@ def pruned_knn(queries: DataFrame, vectors: DataFrame, k: int | None, floor: flo
         pairs = pairs.join(worst, "qb").withColumn("round", F.when(F.col("first"), 1).when(F.col("most") + reach >= F.greatest(F.col("worst"), F.lit(floor)), 2).otherwise(0))
         pairs = kept(pairs.select("dim", "qb", "vb", "round"))
         found = first.unionByName(run(pairs.filter("round = 2")))
-    order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))
-    hits = found.select("q", "id", "sim").withColumn("rank", order)
-    return Found(hits if k is None else hits.filter(F.col("rank") <= k), pairs.select("dim", "qb", "vb", "round"))
+    hits = found.select("q", "id", "sim")
+    if k is not None:
+        order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))
+        hits = hits.withColumn("rank", order).filter(F.col("rank") <= k)
+    return Found(hits, pairs.select("dim", "qb", "vb", "round"))

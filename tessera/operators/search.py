@@ -9,6 +9,8 @@ from tessera.functions.filters import clamped
 from tessera.functions.vector import distance_score
 from tessera.functions.visibility import live_entity
 from tessera.operators.knn import block_knn
+from tessera.operators.pruned import pruned_knn
+from tessera.scratch import kept
 
 KINDS = ("note", "entity", "resource")
 
@@ -36,6 +38,7 @@ def search_memory(queries: DataFrame, vectors: DataFrame, texts: DataFrame, word
     """
     limit = clamped(limit, 20)
     hits = block_knn(queries, vectors, limit, unit="owner", part="source").withColumnRenamed("rank", "pos").withColumn("score", distance_score(F.col("sim")))
+    hits = kept(hits)  # three results come from it
     order = Window.partitionBy("q").orderBy(F.desc("score"), "source", "pos")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("source") + 1)
     merged = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("q", kind.alias("kind"), "id", "score", "rank")
@@ -67,6 +70,6 @@ def merge_proposals(entities: DataFrame, proposed: DataFrame, floor: float = 0.8
     equal = named.join(class_of, ["type", "name"]).filter("id <> rep").select(F.col("id").alias("candidate"), F.col("rep").alias("existing"), F.lit("name_equal").alias("reason"))
     by_name = pairs.unionByName(equal)
     left = entities.join(by_name.select(F.col("candidate").alias("id")).distinct(), "id", "left_anti")
-    near = block_knn(left, entities, None, floor, same_type=True).filter("q > id")
+    near = pruned_knn(left, entities, None, floor, same_type=True).hits.filter("q > id")
     found = by_name.withColumn("sim", F.lit(None).cast("double")).unionByName(near.select(F.col("q").alias("candidate"), F.col("id").alias("existing"), F.lit("embedding").alias("reason"), "sim"))
     return found.join(proposed.select("candidate", "existing").distinct(), ["candidate", "existing"], "left_anti")

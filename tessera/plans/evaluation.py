@@ -109,9 +109,10 @@ def rejection_tally(spark: SparkSession, d: str) -> DataFrame:
     return j.agg(F.count("*").alias("n"), F.floor(F.avg("n_chars")).alias("mean"), F.count_if(F.col("quality") == 0).alias("rejected"))
 
 
-@query("SELECT conv_id AS id, '{\"messages\":[' || string_agg('{\"role\":\"' || role || '\",\"n\":' || length(text) || '}', ',' ORDER BY turn) || ']}' AS line FROM conversations GROUP BY 1")
+@query("""SELECT conv_id AS id, '{"messages":[' || string_agg(CAST(json_object('role', role, 'content', text) AS VARCHAR), ',' ORDER BY turn) || ']}' AS line FROM conversations GROUP BY 1""")
 def chat_export(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON line a thread, keys in a fixed order."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("n"))))  # a thread's turns
+    """One JSON line a thread with all its texts, keys in a fixed order."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))  # a thread's turns
     g = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(turns.alias("t"))
-    return g.select("id", F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["n"].alias("n"))).alias("messages"))).alias("line"))
+    messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    return g.select("id", F.to_json(F.struct(messages.alias("messages")), {"ignoreNullFields": "false"}).alias("line"))

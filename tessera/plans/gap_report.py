@@ -57,12 +57,12 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
     return heads.join(of_order, "o_orderkey").select(F.col("o_orderkey").alias("id"), "body", answer.alias("answer"))
 
 
-_CASES = (
+CASES = (
     "SELECT o_orderkey AS id, any_value(body) AS body, CASE WHEN o_orderkey % 101 = 0 THEN '{}' ELSE any_value(head) || "
     + " || ".join(f"',\"{k}\":[' || coalesce(string_agg(CASE WHEN {c} THEN {x} END, ',' ORDER BY l_linenumber, l_partkey), '') || ']'" for k, (c, x) in _LINE.items())
     + f" || '}}' END AS answer FROM (SELECT *, {_HEAD} AS head, {_BODY} AS body FROM orders JOIN customer ON o_custkey = c_custkey JOIN (SELECT p_partkey AS e_key, p_name AS e_name, p_brand AS e_brand FROM part WHERE p_partkey < 60) ON o_orderkey % 60 = e_key) JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey"
 )
-_SCHEMA = '{"language":"VARCHAR","classification_confidence":"DOUBLE","cancels_action":"VARCHAR","memories":[{"note":"VARCHAR","kind":"VARCHAR","owner":"VARCHAR","event_date":"VARCHAR","event_recurring":"BOOLEAN"}],"entities":[{"canonical_name":"VARCHAR","aliases":["VARCHAR"],"type":"VARCHAR","type_proposal":"VARCHAR","renamed_to":"VARCHAR","facts":[{"predicate":"VARCHAR","value":"VARCHAR","persistence_value":"INTEGER","evidence_strength":"VARCHAR"}]}],"relations":[{"from":"VARCHAR","to":"VARCHAR","predicate":"VARCHAR","confidence":"DOUBLE"}],"project_entries":["VARCHAR"],"resources":[{"url":"VARCHAR","entity_canonical":"VARCHAR","user_comment":"VARCHAR"}],"obsoleted_facts":[{"predicate":"VARCHAR","value":"VARCHAR"}]}'
+SCHEMA = '{"language":"VARCHAR","classification_confidence":"DOUBLE","cancels_action":"VARCHAR","memories":[{"note":"VARCHAR","kind":"VARCHAR","owner":"VARCHAR","event_date":"VARCHAR","event_recurring":"BOOLEAN"}],"entities":[{"canonical_name":"VARCHAR","aliases":["VARCHAR"],"type":"VARCHAR","type_proposal":"VARCHAR","renamed_to":"VARCHAR","facts":[{"predicate":"VARCHAR","value":"VARCHAR","persistence_value":"INTEGER","evidence_strength":"VARCHAR"}]}],"relations":[{"from":"VARCHAR","to":"VARCHAR","predicate":"VARCHAR","confidence":"DOUBLE"}],"project_entries":["VARCHAR"],"resources":[{"url":"VARCHAR","entity_canonical":"VARCHAR","user_comment":"VARCHAR"}],"obsoleted_facts":[{"predicate":"VARCHAR","value":"VARCHAR"}]}'
 
 
 def _sql() -> str:
@@ -122,7 +122,7 @@ def _sql() -> str:
         one("forbidden_predicate", has("forbidden_predicate"), "len(facts) > 0"),
     ]
     return f"""
-WITH c AS ({_CASES}), p AS (SELECT *, from_json(answer, '{_SCHEMA}') AS a FROM c),
+WITH c AS ({CASES}), p AS (SELECT *, from_json(answer, '{SCHEMA}') AS a FROM c),
 l AS (SELECT id, body, answer, a, coalesce(a.memories, []) AS ms, coalesce(a.entities, []) AS ents, coalesce(a.relations, []) AS rels, coalesce(a.resources, []) AS ress, coalesce(a.obsoleted_facts, []) AS obs, coalesce(a.project_entries, []) AS projs FROM p),
 m AS (SELECT *, list_filter(ms, lambda x, i: len(list_filter(ms[1 : i - 1], lambda y: lower(y.note) = lower(x.note))) = 0) AS mem, flatten(list_transform(ents, lambda e: e.facts)) AS facts, list_concat(list_transform(ents, lambda e: lower(e.canonical_name)), flatten(list_transform(ents, lambda e: list_transform(e.aliases, lambda b: lower(b))))) AS names FROM l),
 n AS (SELECT *, len(mem) > 0 OR a.cancels_action IS NOT NULL AS note, len(facts) + len(rels) AS durable, {kind} AS kind FROM m),

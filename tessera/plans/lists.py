@@ -10,6 +10,7 @@ from tessera.functions.filters import list_notes
 from tessera.operators.evaluation import AXES, asserted_axes, durable_count, nested_facts
 from tessera.operators.facts import rewrite_predicates
 from tessera.operators.state import append
+from tessera.plans import gap_report
 from tessera.sources.bind import frame, sql, table
 from tessera.sources.files import change_page
 
@@ -62,31 +63,23 @@ def changes_after(spark: SparkSession, d: str) -> DataFrame:
     return change_page(changes, since=100, limit=200)
 
 
-ANSWER = """'{"entities":' || CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN '[]'
-WHEN 2 THEN '[{"name":"a","facts":[{"predicate":"k","value":"1"},{"predicate":"m","value":"2"}]},{"name":"b"}]'
-ELSE '[{"name":"a","facts":null},{"name":"b","facts":[{"predicate":"' || event_type || '","value":"3"}]}]' END
-|| CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ',"relations":[]' ELSE ',"relations":[{"source":"a"},{"source":"b"}]' END || '}'"""
+_PARSED = f"(SELECT id, from_json(answer, '{gap_report.SCHEMA}') AS a FROM ({gap_report.CASES}))"
 
 
-@query("""SELECT event_id AS id, 'a' AS entity, 'k' AS predicate, '1' AS value FROM events WHERE event_id % 4 = 2 UNION ALL SELECT event_id, 'a', 'm', '2' FROM events WHERE event_id % 4 = 2
-UNION ALL SELECT event_id, 'b', event_type, '3' FROM events WHERE event_id % 4 = 3""")
+@query(f"SELECT id, entity, f.predicate AS predicate, f.value AS value FROM (SELECT id, e.canonical_name AS entity, unnest(e.facts) AS f FROM (SELECT id, unnest(a.entities) AS e FROM {_PARSED}))")
 def answer_facts(spark: SparkSession, d: str) -> DataFrame:
     """The facts nested in the entities of an answer, a row each."""
-    return nested_facts(table(spark, d, "events").select(F.col("event_id").alias("id"), F.expr(ANSWER).alias("answer")))
+    return nested_facts(gap_report.cases(spark, d).select("id", "answer"))
 
 
-@query("SELECT event_id AS id, CAST(CASE event_id % 4 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END + CASE event_id % 3 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS durable FROM events")
+@query(f"SELECT id, CAST(coalesce(len(flatten(list_transform(a.entities, lambda e: e.facts))), 0) + coalesce(len(a.relations), 0) AS BIGINT) AS durable FROM {_PARSED}")
 def answer_durable(spark: SparkSession, d: str) -> DataFrame:
     """Facts and relations an answer holds."""
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), durable_count(F.expr(ANSWER)).alias("durable"))
+    return gap_report.cases(spark, d).select("id", durable_count(F.col("answer")).alias("durable"))
 
 
-CASE = """CASE event_id % 5 WHEN 0 THEN '{"id":1,"kind":null,"note":true}' WHEN 1 THEN '{"memories":1,"owner":null,"facts_min":2}' WHEN 2 THEN '{"id":1}'
-WHEN 3 THEN '{"no_cancel":true,"cancels":null,"obsoletes":"x"}' ELSE '{"drop_guard":1,"language":"fr"}' END"""
-
-
-@query(f"""WITH b(axis, boundary) AS (VALUES {', '.join(map(str, AXES))}), c AS (SELECT event_id AS id, {CASE} AS body FROM events)
+@query(f"""WITH b(axis, boundary) AS (VALUES {', '.join(map(str, AXES))}), c AS ({gap_report.CASES})
 SELECT c.id, b.axis, b.boundary FROM c JOIN b ON list_contains(json_keys(c.body), b.axis)""")
 def axes_asserted(spark: SparkSession, d: str) -> DataFrame:
     """The axes that a case asserts, null or not, each with its boundary."""
-    return asserted_axes(table(spark, d, "events").select(F.col("event_id").alias("id"), F.expr(CASE).alias("body")))
+    return asserted_axes(gap_report.cases(spark, d).select("id", "body"))

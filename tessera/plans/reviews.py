@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import query
 from tessera.functions.visibility import active_fact, live_entity
 from tessera.operators import state
+from tessera.operators.passages import found_passages
 from tessera.sources.bind import frame, sql, table
 
 ENT, FACTS, CAP, NOTES = sql("entities"), sql("facts"), sql("captures"), sql("notes")
@@ -107,22 +108,11 @@ def phrase_rendering(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT d.doc_id AS id, coalesce(string_agg(CAST(b.item_id AS VARCHAR), ',' ORDER BY b.item_id), '') AS found FROM documents d LEFT JOIN benchmark b ON contains(lower(d.text), lower(b.text)) GROUP BY 1")
 def verbatim_presence(spark: SparkSession, d: str) -> DataFrame:
-    """C17: for every text the named passages that occur in it, whole.
-
-    A text that holds a passage holds the words inside it as words, so both meet on windows of three of them (the first and
-    last word of a passage may be part of longer ones); then the whole passage is looked for.  Passages have five words at least.
-    """
-    split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    window = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
-    items = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("passage"), split(F.col("text")).alias("w"))
-    items = items.filter(F.size("w") >= 5).select("item_id", "passage", window(F.col("w"), F.lit(2)).alias("key"))
-    docs = table(spark, d, "documents").select("doc_id", "text", split(F.col("text")).alias("w"))
-    last = F.size("w") - 2
-    keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.when(i <= last, F.xxhash64(F.get("w", i - 1), F.get("w", i), F.get("w", i + 1)))))).alias("key"))
-    met = keys.join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    held = met.join(items.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.lower("text").contains(F.col("passage")))
-    lists = held.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("found"))
-    return docs.select("doc_id").join(lists, "doc_id", "left").select(F.col("doc_id").alias("id"), F.coalesce("found", F.lit("")).alias("found"))
+    """C17: for every text the named passages that occur in it, whole."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    held = found_passages(docs, table(spark, d, "benchmark"))
+    lists = held.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("found"))
+    return docs.select("id").join(lists, "id", "left").select("id", F.coalesce("found", F.lit("")).alias("found"))
 
 
 @query("""

@@ -83,10 +83,12 @@ def devices_without_token(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(tokens, "id", "left_anti")
 
 
-@query("SELECT conv_id AS id, max(text) FILTER (role = 'user') AS graph, max(text) FILTER (role = 'assistant') AS note, max(text) FILTER (role = 'user') IS NOT NULL AND max(text) FILTER (role = 'assistant') IS NOT NULL AS complete FROM conversations GROUP BY 1")
+@query("""WITH h AS (SELECT conv_id AS id, string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'user') AS graph, string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'assistant') AS note FROM conversations GROUP BY 1)
+SELECT *, graph IS NOT NULL AND note IS NOT NULL AS complete FROM h""")
 def halves_regrouped(spark: SparkSession, d: str) -> DataFrame:
-    """Two halves regrouped by id; complete only if both are there."""
-    half = lambda r: F.max(F.when(F.col("role") == r, F.col("text")))
+    """Two halves regrouped by id, each with all its turns in order; complete only if both are there."""
+    turns = lambda r: F.array_sort(F.collect_list(F.when((F.col("role") == r) & F.col("text").isNotNull(), F.struct("turn", "text"))))
+    half = lambda r: F.when(F.size(turns(r)) > 0, F.array_join(F.transform(turns(r), lambda x: x["text"]), "\n"))
     g = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(half("user").alias("graph"), half("assistant").alias("note"))
     return g.withColumn("complete", F.col("graph").isNotNull() & F.col("note").isNotNull())
 

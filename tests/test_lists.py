@@ -46,7 +46,7 @@ def test_predicates_rewritten(spark):
 def test_nested_answers(spark):
     answers = spark.createDataFrame(
         [
-            (1, '{"entities":[{"name":"a","facts":[{"predicate":"p","value":"v"}]},{"name":"b"}],"relations":[{"source":"a"}]}'),
+            (1, '{"entities":[{"canonical_name":"a","facts":[{"predicate":"p","value":"v"}]},{"canonical_name":"b"}],"relations":[{"source":"a"}]}'),
             (2, '{"entities":null}'),
             (3, "no JSON"),
             (4, None),
