@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
-from tessera.operators import digest, gate
+from tessera.operators import digest, gate, snapshots
 from tessera.plans import gap_report
 from tessera.sources.bind import table
 
@@ -80,3 +80,38 @@ def gate_reasons(spark: SparkSession, d: str) -> DataFrame:
     """The first reason that blocks each answer."""
     orders = table(spark, d, "orders").selectExpr("o_orderkey AS id", *_DIAG)
     return gate.gated(gap_report.cases(spark, d).join(orders, "id"), "body", "answer", SIZES, WINDOW).select("id", "reason")
+
+
+_SNAP = {
+    "a": ("l_linenumber <= 5", "l_quantity > 10", "l_discount", "CASE WHEN l_tax > 0.04 THEN 'explicit' WHEN l_tax > 0.02 THEN 'hedged' ELSE 'implicit' END"),
+    "b": ("l_linenumber >= 2 AND l_orderkey % 20 <> 7", "l_quantity > 14", "l_discount - 0.01", "CASE WHEN l_tax > 0.05 THEN 'explicit' WHEN l_tax > 0.02 THEN 'hedged' WHEN l_tax > 0.01 THEN 'implicit' END"),
+}
+
+
+def _cases_sql(s: str) -> str:
+    which, note, discount, evidence = _SNAP[s]
+    return f"""c{s} AS (SELECT l_orderkey AS id, max(CASE WHEN {note} THEN 1 ELSE 0 END) = 1 AS note, min(l_returnflag) AS kind, max(l_linestatus) AS input_type, min(CASE WHEN {note} THEN CAST(CAST(l_shipdate AS DATE) AS STRING) END) AS event_date,
+  CAST(sum(CASE WHEN {discount} > 0.04 THEN 1 ELSE 0 END) AS BIGINT) AS relations, CAST(sum(CASE WHEN {discount} > 0.07 THEN 1 ELSE 0 END) AS BIGINT) AS projects FROM lineitem WHERE {which} GROUP BY l_orderkey),
+f{s} AS (SELECT l_orderkey AS id, l_suppkey % 3 AS entity, 'p' || CAST(l_partkey % 2 AS STRING) AS predicate, {evidence} AS evidence, l_linenumber * 1000000 + l_partkey AS position FROM lineitem WHERE {which} AND {note})"""
+
+
+_R = "CASE {0} WHEN 'explicit' THEN 3 WHEN 'hedged' THEN 2 WHEN 'implicit' THEN 1 ELSE 0 END"
+_CHANGED = "'{0} ' || coalesce(CAST(a.{0} AS VARCHAR), 'none') || ' > ' || coalesce(CAST(b.{0} AS VARCHAR), 'none')"
+
+
+@query(f"""
+WITH {_cases_sql('a')}, {_cases_sql('b')},
+a AS (SELECT ca.*, coalesce(n, 0) AS facts FROM ca LEFT JOIN (SELECT id, count(*) AS n FROM fa GROUP BY 1) USING (id)), b AS (SELECT cb.*, coalesce(n, 0) AS facts FROM cb LEFT JOIN (SELECT id, count(*) AS n FROM fb GROUP BY 1) USING (id)),
+w AS (SELECT *, row_number() OVER (PARTITION BY id, entity, predicate ORDER BY position DESC) AS r FROM fa)
+SELECT id, 'absent' AS severity, 'absent' AS issue FROM a WHERE id NOT IN (SELECT id FROM b)
+UNION ALL SELECT a.id, 'regression', 'note lost: ' || a.kind FROM a JOIN b ON a.id = b.id WHERE a.note AND NOT b.note
+UNION ALL SELECT a.id, 'warning', {_CHANGED.format('kind')} FROM a JOIN b ON a.id = b.id WHERE a.note AND a.kind IS DISTINCT FROM b.kind
+UNION ALL SELECT a.id, 'warning', {_CHANGED.format('input_type')} FROM a JOIN b ON a.id = b.id WHERE a.input_type IS DISTINCT FROM b.input_type
+UNION ALL SELECT a.id, 'warning', 'event_date lost: ' || a.event_date FROM a JOIN b ON a.id = b.id WHERE a.event_date IS NOT NULL AND b.event_date IS NULL
+{' '.join(f"UNION ALL SELECT a.id, 'warning', {_CHANGED.format(c)} FROM a JOIN b ON a.id = b.id WHERE b.{c} < a.{c}" for c in ('facts', 'relations', 'projects'))}
+UNION ALL SELECT fb.id, 'warning', 'evidence ' || fb.predicate || ' ' || coalesce(w.evidence, 'none') || ' > ' || coalesce(fb.evidence, 'none') FROM fb JOIN w ON fb.id = w.id AND fb.entity = w.entity AND fb.predicate = w.predicate AND w.r = 1 WHERE {_R.format('fb.evidence')} < {_R.format('w.evidence')}""")
+def snapshot_severities(spark: SparkSession, d: str) -> DataFrame:
+    """Two snapshots of what orders hold, the second with other lines, thresholds and evidence."""
+    lines = table(spark, d, "lineitem")
+    frames = [spark.sql(f"WITH {_cases_sql(s)} SELECT * FROM {k}{s}".replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines) for k in ("c", "f") for s in ("a", "b")]
+    return snapshots.severities(*frames)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import query
 from tessera.sources.bind import table
-from tessera.streaming import lww
+from tessera.streaming import lww, owner
 
 LOG = [
     "l_orderkey * 10 + l_linenumber AS seq",
@@ -58,3 +58,15 @@ def peer_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Addresses once each, by host."""
     host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host")
     return table(spark, d, "pages").groupBy(host).agg(F.countDistinct("url").alias("urls"), F.min("page_id").alias("first"))
+
+
+@query("""
+WITH c AS (SELECT o_custkey % 100 AS scope, o_orderkey AS id, o_custkey AS device, o_orderdate AS at_ FROM orders WHERE o_custkey % 100 < 90),
+o AS (SELECT scope, arg_max(device, (at_, id)) AS owner, count(*) AS epoch FROM c GROUP BY 1),
+a AS (SELECT c_custkey % 100 AS scope, c_custkey AS device FROM customer), f AS (SELECT scope, min(device) AS first FROM a GROUP BY 1)
+SELECT a.scope, a.device, coalesce(owner, first) AS owner, coalesce(epoch, 1) AS epoch, CASE WHEN owner IS NULL AND device = first THEN 'claimed' WHEN device = coalesce(owner, first) THEN 'owner' ELSE 'not_cycle_owner' END AS outcome
+FROM a JOIN f USING (scope) LEFT JOIN o USING (scope)""")
+def cycle_owner_guard(spark: SparkSession, d: str) -> DataFrame:
+    """An order is a device's claim to its memory; every device asks to run the cycle; some memories have no owner yet."""
+    claims = table(spark, d, "orders").filter("o_custkey % 100 < 90").selectExpr("o_custkey % 100 AS scope", "o_orderkey AS id", "o_custkey AS device", "o_orderdate AS at")
+    return owner.guarded(table(spark, d, "customer").selectExpr("c_custkey % 100 AS scope", "c_custkey AS device"), claims)
