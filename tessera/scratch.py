@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to ``spark.checkpoint.dir`` and read again, so a lost executor costs a reread. Only a local master may leave that setting unset."""
@@ -18,7 +20,12 @@ def kept(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     path = f"{base.rstrip('/')}/core-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for this table goes when it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
