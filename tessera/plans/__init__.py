@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("graphs", "search", "facts", "temporal", "texts", "tables", "evaluation", "replication", "events", "reviews", "surface", "lists", "intake", "gap_report", "seeded", "neighbours", "digests")
+MODULES = ("graphs", "search", "facts", "temporal", "texts", "tables", "evaluation", "replication", "events", "reviews", "surface", "lists", "intake", "gap_report", "seeded", "neighbours", "digests", "queues", "feeds")
 
 
 def load() -> None:
