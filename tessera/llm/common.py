@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: The characters that separate words, in every contract of this package.
 BLANKS = "\t\n\x0b\f\r"
 
@@ -31,15 +33,27 @@ class Scratch:
     """Intermediate tables in the shared folder. A written table cuts lineage: a lost executor costs a reread."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")  # what was shuffled for this table goes when it is written, not when the driver collects its garbage
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_others(self, *names: str) -> None:
+        """Deletes all tables but these; no later plan may read the others."""
+        for name in self.names - set(names):
+            self.drop(name)
+
     def drop(self, name: str) -> None:
         """Deletes a table that no later plan reads."""
+        self.names.discard(name)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -366,7 +366,7 @@ def classes(index: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
                 rest = scratch.keep(undecided(all_of(parts), label, eps), "rest")
             links.append(scratch.keep(meet_in_blocks(rest, sets, percent, scratch), "blocks").toDF("p", "x"))
     if not links:
-        return index.select("node", F.col("node").alias("label")).limit(0)
+        return scratch.keep(index.select("node", F.col("node").alias("label")).limit(0), "all")
     return scratch.keep(components(all_of(links).toDF("a", "b"), scratch, "all"), "all")
 
 
@@ -380,6 +380,7 @@ def labelled(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tup
     some = docs.select(null_safe(F.col("doc_id")).alias("__id"), "text").hint("merge").join(nodes.select(null_safe(F.col("doc_id")).alias("__id")).distinct(), "__id", "left_semi")
     sets = scratch.keep(whole_sets(some, words).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     label = classes(scratch.keep(rarest(sets, percent), "index"), sets, percent, scratch)
+    scratch.drop_others("shown", "all")
     every = shown.filter("n > 0").select("node").distinct().join(label, "node", "left")
     return shown, every.withColumn("label", F.coalesce("label", "node"))
 

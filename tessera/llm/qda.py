@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, whole_row
 from .stats import SYMBOLS, count_of, duplicate_lines, lines_with_words, text_words, word_chars
 
 THRESHOLD = 0.7
@@ -135,12 +135,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``docs`` predicted good, all columns as they are. Features are counted once, and kept beside the rows."""
+    """The rows of ``docs`` predicted good, all columns as they are. Features are counted twice, to fit and to score: rows are neither written nor shuffled."""
     train = labels.select("doc_id", "quality").filter(F.col("quality").isNotNull())
-    known = scratch.keep(features(docs.withColumns({"__row": F.struct(*docs.columns), "__held_out": held_out()}), ["__row", "__held_out"]), "features")
-    narrow = known.filter(~F.col("__held_out")).select(F.col("__row.doc_id").alias("doc_id"), *FEATURES)
-    model = fit(narrow.join(train, "doc_id"))
-    return known.filter(model.score() >= THRESHOLD).select("__row.*")
+    narrow = scratch.keep(features(docs.filter(~held_out()), ["doc_id"]).join(train, "doc_id"), "train")
+    model = fit(narrow)
+    scored = features(docs.withColumn("__row", whole_row(docs)), ["__row"])
+    return scored.filter(model.score() >= THRESHOLD).select("__row.*")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
         links = links.union(scratch.keep(meet_in_blocks(rest, sets, percent, scratch), "blocks").toDF("p", "x"))
     found = components(links.toDF("a", "b"), scratch, "all")
     found = scratch.keep(found, "all")
+    scratch.drop_others("sketches", "nodes", "all")
     named = scratch.keep(nodes.select("node", "digest", "least").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     ids = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("digest", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(ids, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
