@@ -45,7 +45,7 @@ from .components import components
 
 WORDS = 4
 PERCENT = 85
-PIVOTS, GROWTH, REGION_PIVOTS = 32, 32, 4
+PIVOTS, GROWTH, REGION_PIVOTS = 32, 16, 4
 #: No level but the last makes more than this share of its nodes pivots.
 MOST_PIVOTS = 0.25
 POSTINGS_A_TASK = 4096
