@@ -20,6 +20,8 @@ from tessera.operators.facts import base_confidence, destination, entity_gate
 
 #: Below this confidence a capture, or a relation, goes to review.
 REVIEW = 0.7
+#: White space that a name may have around it.
+BLANK = " \t\n\x0b\f\r"
 _MEMORY = "note string, kind string, owner string, event_date string, event_recurring boolean"
 _FACT = "struct<predicate: string, value: string, persistence_value: int, evidence_strength: string>"
 ANSWER = (
@@ -33,12 +35,12 @@ ANSWER = (
 
 def plain(c: Column) -> Column:
     """A name as it is compared: without white space around it, in lower case; null is empty."""
-    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""))
+    return F.lower(F.btrim(F.coalesce(c, F.lit("")), F.lit(BLANK)))
 
 
 def said(c: Column) -> Column:
     """A text, or null where it is blank or says null or none."""
-    return F.when(plain(c).isin("", "null", "none"), None).otherwise(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return F.when(plain(c).isin("", "null", "none"), None).otherwise(F.btrim(c, F.lit(BLANK)))
 
 
 def listed(c: Column, kind: str) -> Column:

@@ -51,7 +51,7 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
     heads = o.selectExpr("o_orderkey", "c_mktsegment", f"{_HEAD} AS head", f"{_BODY} AS body")
     lines = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(heads.select("o_orderkey", "c_mktsegment"), F.col("l_orderkey") == F.col("o_orderkey"))
     piece = F.struct("l_linenumber", "l_partkey", *[F.when(F.expr(c), F.expr(x)).alias(k) for k, (c, x) in _LINE.items()])
-    of_order = lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(piece)).alias("lines"))  # an order's lines
+    of_order = lines.groupBy("o_orderkey").agg(F.sort_array(F.collect_list(piece)).alias("lines"))  # an order's lines
     listed = [F.concat(F.lit(f',"{k}":['), F.array_join(F.col("lines").getField(k), ","), F.lit("]")) for k in _LINE]
     answer = F.when(F.col("o_orderkey") % 101 == 0, "{}").otherwise(F.concat("head", *listed, F.lit("}")))
     return heads.join(of_order, "o_orderkey").select(F.col("o_orderkey").alias("id"), "body", answer.alias("answer"))
@@ -146,6 +146,6 @@ _BOUNDARIES = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in evaluation.AXES)
 @query(GAPS + f", u AS (SELECT id, unnest(gaps) AS gap FROM g) SELECT CASE regexp_extract(gap, '^[a-z_]+') {_BOUNDARIES} ELSE 'other' END AS boundary, count(*) AS n, count(DISTINCT id) AS cases FROM u GROUP BY 1")
 def gap_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """Gaps and cases by the boundary that their axis serves."""
-    g = gaps.with_gaps(cases(spark, d), "body", "answer", F.lit(TODAY).cast("date")).select("id", F.explode("gaps").alias("gap"))
+    g = gaps.with_gaps(cases(spark, d), "body", "answer", F.lit(TODAY).cast("date")).select("id", F.explode_outer("gaps").alias("gap")).filter("gap is not null")  # outer: else all rules go once more into a filter below
     boundary = F.create_map(*[F.lit(x) for pair in evaluation.AXES for x in pair])[F.regexp_extract("gap", "^[a-z_]+", 0)]
     return g.groupBy(F.coalesce(boundary, F.lit("other")).alias("boundary")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("cases"))
