@@ -81,7 +81,7 @@ def html_title(c: Column) -> Column:
 def html_text(c: Column) -> Column:
     """Visible text: script, style, nav and head blocks and all tags go, the five basic entities are decoded, white space is squeezed."""
     for block in ("script", "style", "nav", "head", "noscript"):
-        c = F.regexp_replace(c, rf"(?is)<{block}\b.*?</{block}>", " ")
+        c = F.regexp_replace(c, rf"(?is)<{block}(?![0-9A-Za-z_]).*?</{block}>", " ")
     c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(sign))

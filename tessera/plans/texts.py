@@ -96,7 +96,7 @@ def prose_checks(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.length(text) < 200, "short"),
         F.when(text.startswith("#"), "heading"),
         F.when(F.lower(text).contains("licensed"), "license"),
-        F.when(text.rlike(r"\b[A-Z]{2,5}-[0-9]+\b"), "ticket"),
+        F.when(text.rlike(r"(?<![0-9A-Za-z_])[A-Z]{2,5}-[0-9]+(?![0-9A-Za-z_])"), "ticket"),
         F.when(text.rlike("!!"), "shout"),
     ]
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.array_compact(F.array(*rules)), ",").alias("violations"))
