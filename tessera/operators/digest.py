@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.temporal import next_yearly
 from tessera.operators.passages import found_passages
 from tessera.operators.state import upsert_latest
+from tessera.scratch import kept
 
 #: How many entities are named as trends (ours).
 TRENDS = 5
@@ -30,11 +31,14 @@ def upcoming(entities: DataFrame, facts: DataFrame, notes: DataFrame, today: dat
     inside = F.col("day").between(now, F.date_add(now, days))
     own = notes.filter("kind in ('event', 'task') and not archived and owner is null and event_date is not null")
     dated = own.select(F.col("id").cast("string").alias("id"), "title", occurrence(F.col("event_date"), F.col("recurring"), now).alias("day"), "kind", "recurring").filter(inside)
+    dated = kept(dated)  # what is due is few rows, which are read several times
     told = facts.filter("predicate = 'has_birthday' and not obsoleted").select("entity_id", F.try_to_date("value").alias("born")).filter("born is not null")
     births = told.select("entity_id", next_yearly(F.col("born"), now).alias("day")).filter(inside).join(entities.select(F.col("id").alias("entity_id"), "canonical_name"), "entity_id").distinct()
+    births = kept(births)
     titles = dated.select("id", F.col("title").alias("text"))
-    named = found_passages(titles, births.select(F.col("entity_id").alias("item_id"), F.col("canonical_name").alias("text"))).select(F.col("item_id").alias("entity_id")).distinct()
-    births = births.join(named, "entity_id", "left_anti")
+    names = births.select(F.lower("canonical_name").alias("text")).distinct()  # entities of one name are one passage
+    named = found_passages(titles, names.select(F.col("text").alias("item_id"), "text")).select(F.col("item_id").alias("named")).distinct()
+    births = births.join(named, F.lower("canonical_name") == F.col("named"), "left_anti")
     return dated.unionByName(births.select(F.col("entity_id").cast("string").alias("id"), F.concat(F.lit("Birthday: "), "canonical_name").alias("title"), "day", F.lit("birthday").alias("kind"), F.lit(True).alias("recurring")))
 
 
