@@ -18,9 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.knn import best_of_block, matrix
 from tessera.scratch import kept
 
-BLOCK = 4096
+BLOCK = 32768
 #: Pivots of a dimension, from a sample of so many vectors at most: all that the driver ever holds. And rings of a half-circle.
 PIVOTS, SAMPLE, RINGS = 64, 2048, 48
 SLACK = 1e-4
@@ -43,7 +44,7 @@ def pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
     """By dimension, up to PIVOTS unit vectors: centres of a seeded sample of at most SAMPLE vectors, moved three times to the mean of their cells."""
     order = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id")
     sample = vectors.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE).select("dim", "embedding").toPandas()
-    sizes = {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}
+    sizes = {r["dim"]: r["n"] for r in vectors.groupBy("dim", "kind").count().groupBy("dim").agg(F.max("count").alias("n")).collect()}
     out = {}
     for dim, g in sample.groupby("dim"):
         most = min(PIVOTS, 4 * -(-sizes[dim] // BLOCK))  # no more cells than blocks make sense of
@@ -83,21 +84,21 @@ def celled(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
 
 
 def blocked(rows: DataFrame, name: str) -> DataFrame:
-    """Adds ``name``, a block of about BLOCK vectors of one dimension and cell; cells of more than BLOCK are cut into rings first."""
-    large = rows.groupBy("dim", "cell").agg((F.count("*") > BLOCK).alias("large"))  # a row a cell
-    ringed = rows.join(large, ["dim", "cell"]).withColumn("ring", F.when(F.col("large"), F.floor(F.col("angle") / np.pi * RINGS)).otherwise(0).cast("int")).drop("large")
-    sizes = ringed.groupBy("dim", "cell", "ring").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    return ringed.join(sizes, ["dim", "cell", "ring"]).withColumn(name, F.xxhash64("dim", "cell", "ring", F.pmod(F.xxhash64("id"), "parts"))).drop("parts", "ring")
+    """Adds ``name``, a block of about BLOCK vectors of one dimension, kind and cell; cells of more than BLOCK are cut into rings first."""
+    large = rows.groupBy("dim", "kind", "cell").agg((F.count("*") > BLOCK).alias("large"))  # a row a cell
+    ringed = rows.join(large, ["dim", "kind", "cell"]).withColumn("ring", F.when(F.col("large"), F.floor(F.col("angle") / np.pi * RINGS)).otherwise(0).cast("int")).drop("large")
+    sizes = ringed.groupBy("dim", "kind", "cell", "ring").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    return ringed.join(sizes, ["dim", "kind", "cell", "ring"]).withColumn(name, F.xxhash64("dim", "kind", "cell", "ring", F.pmod(F.xxhash64("id"), "parts"))).drop("parts", "ring")
 
 
 def block_rows(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("dim", name).agg(F.first("cell").alias("cell"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n"))
+    return rows.groupBy("dim", "kind", name).agg(F.first("cell").alias("cell"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n"))
 
 
 def bounds(queries: DataFrame, vectors: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
     """dim, qb, vb, n, most: for each pair of blocks of one dimension, the size of the second and the largest cosine that two of their vectors can have."""
-    a = block_rows(queries, "qb").select("dim", "qb", F.col("cell").alias("qc"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
-    b = block_rows(vectors, "vb").select("dim", "vb", F.col("cell").alias("vc"), F.col("lo").alias("vlo"), F.col("hi").alias("vhi"), "n")
+    a = block_rows(queries, "qb").select("dim", "kind", "qb", F.col("cell").alias("qc"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
+    b = block_rows(vectors, "vb").select("dim", "kind", "vb", F.col("cell").alias("vc"), F.col("lo").alias("vlo"), F.col("hi").alias("vhi"), "n")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         between = {d: np.arccos(np.clip(c @ c.T, -1, 1)) for d, c in centres.items()}
@@ -112,29 +113,21 @@ def bounds(queries: DataFrame, vectors: DataFrame, centres: dict[int, np.ndarray
             most = np.where((f["qc"] < 0) | (f["vc"] < 0), np.inf, np.cos(apart) + SLACK)  # of vectors that are not unit ones nothing is known
             yield f[["dim", "qb", "vb", "n"]].assign(most=most)
 
-    return a.join(b, "dim").mapInPandas(run, "dim int, qb long, vb long, n long, most double")
+    return a.join(b, ["dim", "kind"]).mapInPandas(run, "dim int, qb long, vb long, n long, most double")
 
 
-def meet(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, k: int | None, floor: float, same_type: bool, digits: int) -> DataFrame:
+def meet(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, k: int | None, floor: float, digits: int) -> DataFrame:
     """q, qb, id, sim: of each pair of blocks the k best of every query (None: all from the floor on)."""
-    left = queries.select("qb", "id", "embedding", "type").join(pairs.select("qb", "vb"), "qb")
-    right = vectors.select("vb", "id", "embedding", "type").join(pairs.select("qb", "vb"), "vb")
+    left = queries.select("qb", "id", "embedding").join(pairs.select("qb", "vb"), "qb")
+    right = vectors.select("vb", "id", "embedding").join(pairs.select("qb", "vb"), "vb")
 
     def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"q": [], "qb": [], "id": [], "sim": []}).astype({"q": "int64", "qb": "int64", "id": "int64"})
         b = b.sort_values("id")
         q, ids = a["id"].to_numpy(), b["id"].to_numpy()
-        sims = np.round(np.stack(a["embedding"].to_list()).astype(np.float64) @ np.stack(b["embedding"].to_list()).astype(np.float64).T, digits)
-        fit = (q[:, None] != ids) & (sims >= floor)
-        if same_type:
-            fit &= a["type"].to_numpy()[:, None] == b["type"].to_numpy()
-        sims = np.where(fit, sims, -np.inf)
-        if k is not None and k < len(ids):
-            fit &= sims >= np.partition(sims, len(ids) - k, axis=1)[:, [len(ids) - k]]
-        i, j = np.nonzero(fit)
-        found = pd.DataFrame({"q": q[i], "qb": key[0], "id": ids[j], "sim": sims[i, j]})
-        return found if k is None else found.sort_values(["q", "sim", "id"], ascending=[True, False, True]).groupby("q").head(k)
+        i, found, sim = best_of_block(q, matrix(a["embedding"]), ids, matrix(b["embedding"]), ids, k, floor, digits)
+        return pd.DataFrame({"q": q[i], "qb": key[0], "id": found, "sim": sim})
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(best, "q long, qb long, id long, sim double")
 
@@ -145,13 +138,14 @@ def pruned_knn(queries: DataFrame, vectors: DataFrame, k: int | None, floor: flo
     Both frames: id, embedding, type.  Null and empty vectors take no part; vectors of different dimensions never meet.  Of
     vectors that are not unit ones inner products are compared, and none of their blocks is skipped.
     """
-    usable = F.expr("embedding is not null and size(embedding) > 0")
-    ready = lambda df: df.filter(usable).select("id", "embedding", "type", F.size("embedding").alias("dim"))
+    usable = F.expr("embedding is not null and size(embedding) > 0" + (" and type is not null" if same_type else ""))
+    kind = F.col("type") if same_type else F.lit(0)  # blocks hold one kind
+    ready = lambda df: df.filter(usable).select("id", "embedding", kind.alias("kind"), F.size("embedding").alias("dim"))
     centres = pivots(ready(vectors))
     left = kept(blocked(celled(ready(queries), centres), "qb"))
     right = kept(blocked(celled(ready(vectors), centres), "vb"))
     pairs = kept(bounds(left, right, centres))
-    run = lambda p: meet(p, left, right, k, floor, same_type, digits)
+    run = lambda p: meet(p, left, right, k, floor, digits)
     reach = 10.0**-digits
     if k is None:
         pairs = pairs.withColumn("round", F.when(F.col("most") + reach >= floor, 1).otherwise(0))
