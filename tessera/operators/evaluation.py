@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.scratch import kept
+
+#: Leading hexadecimal digits of a hash that make a slice of a stratum.
+SLICE_DIGITS = 3
+
 
 def gap_list(asserted: Column, rules: dict[str, tuple[str, Column]]) -> Column:
     """The gaps of a case. ``rules``: gap -> (axis key, violated). An axis counts only where the case asserts it (its key is there)."""
@@ -34,16 +39,25 @@ def leak_free_split(cases: DataFrame, text: str, stratum: str, forced: Column, s
     """Adds ``part``: whole groups of equal text go to ``train`` or ``valid``; groups with a forced row to ``train``.
 
     The draw ranks each stratum's groups by a seeded hash of the text, so it does not depend on row order. A
-    group's stratum is its smallest.
+    group's stratum is its smallest. Groups are moved by that hash, which stands for the text; ranks are counts of a stratum's
+    slices by leading digits of the hash, and only the slice that the border falls into is ranked row by row. Null texts are
+    one group, the last.
     """
-    key = F.lower(F.trim(text))
-    groups = cases.groupBy(key.alias("__t")).agg(F.min(stratum).alias("__s"), F.max(forced).alias("__f"))
-    free = groups.filter(~F.col("__f"))
-    w = Window.partitionBy("__s")
-    rank = F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit(seed), "__t"), 256), "__t"))
-    valid = free.select("__t", (rank <= F.floor(F.count("*").over(w) * share)).alias("__v"))
+    groups = cases.withColumn("__h", F.sha2(F.concat(F.lit(seed), F.lower(F.trim(text))), 256))
+    free = groups.groupBy("__h").agg(F.min(stratum).alias("__s"), F.max(forced).alias("__f")).filter(~F.col("__f"))
+    free = kept(free.select("__h", "__s", F.coalesce(F.substring("__h", 1, SLICE_DIGITS), F.lit("~")).alias("__b")))
+    slices = free.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy("__s")  # a row a slice
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    due = F.floor(F.sum("__n").over(w) * share)
+    slices = slices.select(F.col("__s").alias("__s2"), F.col("__b").alias("__b2"), "__n", before.alias("__before"), due.alias("__due")).filter("__before < __due")
+    drawn = free.filter("__h is not null").join(slices, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__b") == F.col("__b2")))
+    whole, border = drawn.filter("__before + __n <= __due"), drawn.filter("__before + __n > __due")
+    rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h"))
+    border = border.withColumn("__r", rank).filter("__before + __r <= __due")
+    valid = whole.select("__h").unionByName(border.select("__h")).withColumn("__v", F.lit(True))
     part = F.when(F.col("__v"), "valid").otherwise("train")
-    return cases.withColumn("__t", key).join(valid, "__t", "left").withColumn("part", part).drop("__t", "__v")
+    return groups.join(valid, "__h", "left").withColumn("part", part).drop("__h", "__v")
 
 
 def state_hash(df: DataFrame, name: str) -> DataFrame:
