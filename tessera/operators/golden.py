@@ -92,10 +92,14 @@ def rows(state: dict[str, DataFrame]) -> DataFrame:
 
 def differences(a: dict[str, DataFrame], b: dict[str, DataFrame], most: int = 3) -> DataFrame:
     """Table, side, place, row: of each table and side the first ``most`` rows that the other state lacks, repeats counted; no row: the states agree."""
-    one, two = rows(a), rows(b)
-    sides = one.exceptAll(two).withColumn("side", F.lit("left")).unionByName(two.exceptAll(one).withColumn("side", F.lit("right")))
-    place = F.row_number().over(Window.partitionBy("table", "side").orderBy("row"))
-    return sides.withColumn("place", place).filter(F.col("place") <= most).select("table", "side", "place", "row")
+    signed = rows(a).withColumn("n", F.lit(1)).unionByName(rows(b).withColumn("n", F.lit(-1)))
+    extra = signed.groupBy("table", "row").agg(F.sum("n").alias("n")).filter("n <> 0")  # one shuffle of each state's rows
+    sides = extra.withColumn("side", F.when(F.col("n") > 0, "left").otherwise("right"))
+    first = F.row_number().over(Window.partitionBy("table", "side").orderBy("row"))
+    repeats = F.explode(F.sequence(F.lit(1), F.least(F.abs("n"), F.lit(most)).cast("int")))
+    few = sides.withColumn("first", first).filter(F.col("first") <= most).withColumn("again", repeats)
+    place = F.row_number().over(Window.partitionBy("table", "side").orderBy("row", "again"))
+    return few.withColumn("place", place).filter(F.col("place") <= most).select("table", "side", "place", "row")
 
 
 def fingerprint(state: dict[str, DataFrame]) -> DataFrame:
