@@ -33,14 +33,24 @@ ANSWER = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there, in functions of elements too."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def trimmed(c: Column) -> Column:
+    """``c`` without white space around it; most texts have none, and to trim goes over every character."""
+    return F.when((c >= "!") & (F.substring(c, -1, 1) >= "!"), c).otherwise(F.btrim(c, F.lit(BLANK)))
+
+
 def plain(c: Column) -> Column:
     """A name as it is compared: without white space around it, in lower case; null is empty."""
-    return F.lower(F.btrim(F.coalesce(c, F.lit("")), F.lit(BLANK)))
+    return F.coalesce(F.lower(trimmed(c)), F.lit(""))
 
 
 def said(c: Column) -> Column:
     """A text, or null where it is blank or says null or none."""
-    return F.when(plain(c).isin("", "null", "none"), None).otherwise(F.btrim(c, F.lit(BLANK)))
+    return let(c, lambda v: let(trimmed(v), lambda t: F.when((F.length(t) <= 4) & F.lower(t).isin("", "null", "none"), None).otherwise(t)))
 
 
 def listed(c: Column, kind: str) -> Column:
@@ -48,42 +58,56 @@ def listed(c: Column, kind: str) -> Column:
 
 
 class Case:
-    """The axes of a case (a variant) as columns."""
+    """The axes of a case as columns: ``body`` is what ``axes`` makes of it."""
 
     def __init__(self, body: Column, keys: Column):
         self.body, self.keys = body, F.coalesce(keys, F.array().cast("array<string>"))
 
+    def axis(self, axis: str) -> Column:
+        return F.try_element_at(self.body, F.lit(axis))
+
     def has(self, axis: str) -> Column:
         return F.array_contains(self.keys, axis)
 
     def kind(self, axis: str) -> Column:
         """The type of the value: STRING, BIGINT, ARRAY<...>, OBJECT<...>, VOID; null if the key is absent."""
-        return F.schema_of_variant(F.variant_get(self.body, f"$.{axis}", "variant"))
+        return self.axis(axis)["kind"]
 
     def text(self, axis: str) -> Column:
-        return F.when(self.kind(axis) == "STRING", F.variant_get(self.body, f"$.{axis}", "string"))
+        return self.axis(axis)["text"]
 
     def number(self, axis: str) -> Column:
-        return F.try_variant_get(self.body, f"$.{axis}", "double")
+        return F.try_variant_get(self.axis(axis)["value"], "$", "double")
 
     def flag(self, axis: str) -> Column:
-        return F.try_variant_get(self.body, f"$.{axis}", "boolean")
+        return F.try_variant_get(self.axis(axis)["value"], "$", "boolean")
 
     def asks(self, axis: str) -> Column:
         """Whether the value says anything: not absent, null, false, 0 or empty."""
-        value = F.to_json(F.variant_get(self.body, f"$.{axis}", "variant"))
-        return self.has(axis) & ~F.coalesce(value, F.lit("null")).isin("null", "false", "0", "0.0", '""', "[]", "{}")
+        return F.coalesce(self.axis(axis)["asks"], F.lit(False))
 
     def texts(self, axis: str) -> Column:
         """The strings of a value that is one or a list; blank ones and other types are none."""
-        each = F.try_variant_get(self.body, f"$.{axis}", "array<variant>")
+        each = F.try_variant_get(self.axis(axis)["value"], "$", "array<variant>")
         strings = F.transform(F.filter(each, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
         found = F.coalesce(F.when(self.kind(axis) == "STRING", F.array(self.text(axis))), strings, F.array().cast("array<string>"))
         return F.filter(found, lambda s: plain(s) != "")
 
     def counts(self, axis: str) -> Column:
         """The numbers of a value that is an object, by key."""
-        return F.coalesce(F.try_variant_get(self.body, f"$.{axis}", "map<string, double>"), F.create_map().cast("map<string, double>"))
+        return F.coalesce(F.try_variant_get(self.axis(axis)["value"], "$", "map<string, double>"), F.create_map().cast("map<string, double>"))
+
+
+def axes(members: Column) -> Column:
+    """value, kind, text (of a string) and asks of each axis, read once, from the members of a case (variants by key)."""
+
+    def read(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        text = F.when(kind == "STRING", F.variant_get(v, "$", "string"))
+        asks = ~F.coalesce(F.to_json(v), F.lit("null")).isin("null", "false", "0", "0.0", '""', "[]", "{}")
+        return F.struct(v.alias("value"), kind.alias("kind"), text.alias("text"), asks.alias("asks"))
+
+    return F.transform_values(members, lambda _, v: read(v))
 
 
 #: What is read from an answer once, for all rules: each step's columns use those of the steps before.
@@ -93,19 +117,23 @@ _PARSED, _READ, _KNOWN = "__answer", "__read", "__known"
 def prepared(df: DataFrame, case: str, answer: str) -> DataFrame:
     """``df`` with the case as a variant and the answer as it is read, in columns of their own, so that no rule reads them again."""
     raw, a = F.col(answer), F.col(_PARSED)
-    kind = F.schema_of_variant(F.try_parse_json(raw))
-    df = df.withColumns({"__case": F.parse_json(case), "__keys": F.json_object_keys(case), _PARSED: F.from_json(raw, ANSWER), "__own": F.json_object_keys(raw), "__usable": F.coalesce(kind.startswith("OBJECT<") & (kind != "OBJECT<>"), F.lit(False))})
-    owner_there = F.array_contains(F.coalesce("__own", F.array().cast("array<string>")), "owner")
+    members = F.try_variant_get(F.parse_json(case), "$", "map<string, variant>")
+    filled = F.try_parse_json(raw).isNotNull() & raw.rlike(r"^[ \t\n\r]*\{[ \t\n\r]*[^} \t\n\r]")  # an object with a member: of JSON, its start tells
+    df = df.withColumns({"__members": members, _PARSED: F.from_json(raw, ANSWER), "__usable": F.coalesce(filled, F.lit(False))})
+    df = df.withColumns({"__case": axes(F.col("__members")), "__keys": F.map_keys("__members")})
+    # keys are read only where there is but one memory
+    owner_there = F.array_contains(F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")), "owner")
     single = Answer.memory(a, F.when(owner_there, a["owner"]).otherwise(a["atomic_note_owner"]))
     several = F.transform(a["memories"], lambda m: Answer.memory(m, F.coalesce(m["owner"], m["atomic_note_owner"])))
     read = F.filter(F.when(F.coalesce(F.size(a["memories"]), F.lit(0)) > 0, several).otherwise(F.array(single)), lambda m: m["note"].isNotNull())
     df = df.withColumn(_READ, read)
     once = F.filter(_READ, lambda m, i: ~F.exists(F.slice(_READ, F.lit(1), i), lambda b: F.lower(b["note"]) == F.lower(m["note"])))
-    lists = [listed(a[n], Answer.type_of(n)).alias(n) for n in ("entities", "relations", "resources", "obsoleted_facts", "project_entries")]
+    named = F.transform(listed(a["entities"], Answer.type_of("entities")), entity_of)
+    lists = [named.alias("entities"), *[listed(a[n], Answer.type_of(n)).alias(n) for n in ("relations", "resources", "obsoleted_facts", "project_entries")]]
     df = df.withColumn(_KNOWN, F.struct(once.alias("memories"), *lists, a["cancels_action"].alias("cancels_action"), a["language"].alias("language"), F.coalesce(a["classification_confidence"], F.lit(1.0)).alias("confidence")))
     entities = F.col(_KNOWN)["entities"]
-    facts = F.flatten(F.transform(entities, lambda e: listed(e["facts"], _FACT)))
-    names = F.filter(F.flatten(F.transform(entities, names_of)), lambda n: n != "")
+    facts = F.flatten(F.transform(entities, lambda e: e["facts"]))
+    names = F.filter(F.flatten(F.transform(entities, lambda e: e["names"])), lambda n: n != "")
     predicates = F.transform(F.col(_KNOWN)["relations"], lambda r: F.lower(F.coalesce(r["predicate"], F.lit(""))))
     return df.withColumns({"__facts": facts, "__names": names, "__predicates": predicates})
 
@@ -142,32 +170,41 @@ class Answer:
 
     def entity(self, name: Column) -> Column:
         """The first entity of a name or alias; null if there is none."""
-        return F.get(F.filter(self.entities, lambda e: F.array_contains(names_of(e), plain(name))), 0)
+        return let(plain(name), lambda n: F.get(F.filter(self.entities, lambda e: F.array_contains(e["names"], n)), 0))
 
     def resource(self, url: Column) -> Column:
-        return F.get(F.filter(self.resources, lambda r: plain(r["url"]) == plain(url)), 0)
+        return let(plain(url), lambda u: F.get(F.filter(self.resources, lambda r: plain(r["url"]) == u), 0))
 
     def born(self, name: Column) -> Column:
         """what becomes of an entity the memory does not know: created, proposed, ignored or absent."""
-        e = self.entity(name)
-        named = F.exists(self.relations, lambda r: (plain(r["from"]) == plain(name)) | (plain(r["to"]) == plain(name)))
-        owns = F.exists(self.resources, lambda r: plain(r["entity_canonical"]) == plain(name))
-        facts = listed(e["facts"], _FACT)
-        strongest = F.array_max(F.transform(facts, lambda f: F.coalesce(f["persistence_value"], F.lit(3))))
-        gate = entity_gate(named, owns, F.size(facts), strongest, plain(F.get(facts, 0)["predicate"]), F.size(self.memories) > 0)
-        return F.when(e.isNull(), "absent").otherwise(gate)
+        n = plain(name)
+        named = let(n, lambda n: F.exists(self.relations, lambda r: (plain(r["from"]) == n) | (plain(r["to"]) == n)))
+        owns = let(n, lambda n: F.exists(self.resources, lambda r: plain(r["entity_canonical"]) == n))
+
+        def becomes(e: Column) -> Column:
+            strongest = F.array_max(F.transform(e["facts"], lambda f: F.coalesce(f["persistence_value"], F.lit(3))))
+            gate = entity_gate(named, owns, F.size(F.coalesce(e["facts"], F.array().cast(f"array<{_FACT}>"))), strongest, plain(F.get(e["facts"], 0)["predicate"]), F.size(self.memories) > 0)
+            return F.when(e.isNull(), "absent").otherwise(gate)
+
+        return let(self.entity(name), becomes)
 
     def goes(self, entity: Column, predicate: Column) -> Column:
         """where the first fact of an entity with such a predicate goes: facts, pending or review; absent if there is none."""
-        mine = F.flatten(F.transform(F.filter(self.entities, lambda e: F.array_contains(names_of(e), plain(entity))), lambda e: listed(e["facts"], _FACT)))
-        f = F.get(F.filter(mine, lambda f: F.contains(plain(f["predicate"]), plain(predicate))), 0)
-        sure = base_confidence(F.coalesce(f["evidence_strength"], F.lit("explicit")), F.coalesce(f["persistence_value"], F.lit(3)), F.lit(False), F.lit(1))
-        return F.when(f.isNull(), "absent").otherwise(destination(sure))
+        mine = let(plain(entity), lambda n: F.flatten(F.transform(F.filter(self.entities, lambda e: F.array_contains(e["names"], n)), lambda e: e["facts"])))
+        first = let(plain(predicate), lambda p: F.get(F.filter(mine, lambda f: F.contains(plain(f["predicate"]), p)), 0))
+
+        def lands(f: Column) -> Column:
+            sure = base_confidence(F.coalesce(f["evidence_strength"], F.lit("explicit")), F.coalesce(f["persistence_value"], F.lit(3)), F.lit(False), F.lit(1))
+            return F.when(f.isNull(), "absent").otherwise(destination(sure))
+
+        return let(first, lands)
 
 
-def names_of(e: Column) -> Column:
-    """Canonical name and aliases of an entity, as they are compared."""
-    return F.concat(F.array(plain(e["canonical_name"])), F.transform(listed(e["aliases"], "string"), plain))
+def entity_of(e: Column) -> Column:
+    """An entity with what rules compare, made once: its name, all its names (aliases too), its facts without null."""
+    own = plain(e["canonical_name"])
+    same = [e[n].alias(n) for n in ("canonical_name", "type", "type_proposal", "renamed_to")]
+    return F.struct(*same, own.alias("name"), F.concat(F.array(own), F.transform(listed(e["aliases"], "string"), plain)).alias("names"), listed(e["facts"], _FACT).alias("facts"))
 
 
 def variants(wanted: Column) -> Column:
@@ -188,10 +225,10 @@ def rules(case: Case, answer: Answer, today: Column) -> list[tuple[str, Column,
     lower = lambda axis: F.lower(wanted(axis))
     link = lambda w: F.get(F.filter(a.relations, lambda r: F.exists(variants(w), lambda v: F.contains(F.lower(F.coalesce(r["predicate"], F.lit(""))), v))), 0)
     resource = a.resource(wanted("resource_url"))
-    owner_type = plain(F.get(F.filter(a.entities, lambda e: plain(e["canonical_name"]) == plain(resource["entity_canonical"])), 0)["type"])
+    owner_type = let(plain(resource["entity_canonical"]), lambda n: plain(F.get(F.filter(a.entities, lambda e: e["name"] == n), 0)["type"]))
     pair = lambda axis, at: F.coalesce(F.get(F.split(c.text(axis), ":", 2), at), F.lit(""))
     goes = lambda axis: a.goes(pair(axis, 0), pair(axis, 1))
-    typed = F.filter(a.entities, lambda e: plain(e["canonical_name"]) == plain(c.text("type_proposal")))
+    typed = let(plain(c.text("type_proposal")), lambda n: F.filter(a.entities, lambda e: e["name"] == n))
     proposed_type = F.get(F.slice(typed, -1, 1), 0)["type_proposal"]
     snapped = lambda v: F.when(F.try_to_date(F.substring(v, 1, 10)).isNotNull() & (F.length(v) >= 10), F.concat(month_snap(F.try_to_date(F.substring(v, 1, 10)), today, a.kind, c.text("text")).cast("string"), F.substring(v, F.lit(11), F.length(v)))).otherwise(v)
     value = lambda f: F.coalesce(f["value"], F.lit(""))
@@ -201,7 +238,7 @@ def rules(case: Case, answer: Answer, today: Column) -> list[tuple[str, Column,
     undone = plain(a.cancels)
     language = F.substring(F.lower(said(a.language)), 1, 2)
     on = F.map_entries(c.counts("facts_on"))
-    facts_of = lambda name: F.size(F.flatten(F.transform(F.filter(a.entities, lambda e: plain(e["canonical_name"]) == plain(name)), lambda e: listed(e["facts"], _FACT))))
+    facts_of = lambda name: let(plain(name), lambda n: F.size(F.flatten(F.transform(F.filter(a.entities, lambda e: e["name"] == n), lambda e: e["facts"]))))
     return [
         ("drop_guard", c.asks("drop_guard"), ~(a.has_note | (F.size(a.projects) > 0) | (a.durable > 0))),
         ("note", c.has("note"), ~a.has_note.eqNullSafe(c.flag("note"))),
@@ -210,13 +247,13 @@ def rules(case: Case, answer: Answer, today: Column) -> list[tuple[str, Column,
         ("owner", c.has("owner"), ~F.exists(F.when(F.size(memories) > 0, of("owner")).otherwise(F.array(F.lit(None).cast("string"))), lambda o: o.eqNullSafe(c.text("owner")))),
         ("recurring", c.has("recurring"), ~F.exists(F.when(F.size(memories) > 0, of("recurring")).otherwise(F.array(F.lit(False))), lambda r: r.eqNullSafe(c.flag("recurring")))),
         ("event_date: dated", c.has("event_date") & c.text("event_date").isNull(), F.exists(dates, lambda d: d.isNotNull())),
-        ("event_date", c.text("event_date").isNotNull(), ~F.exists(dates, lambda d: d.eqNullSafe(c.text("event_date")))),
+        ("event_date", c.text("event_date").isNotNull(), ~F.coalesce(F.array_contains(dates, c.text("event_date")), F.lit(False))),
         ("language", c.has("language"), ~language.eqNullSafe(c.text("language"))),
         ("needs_review", c.has("needs_review"), ~((a.confidence < REVIEW) | a.nothing).eqNullSafe(c.flag("needs_review"))),
         ("rel", c.asks("rel"), (c.texts("rel"), lambda w: ~F.exists(variants(w), lambda v: F.exists(a.predicates, lambda p: F.contains(p, v))))),
         ("facts_on", c.asks("facts_on"), (F.transform(F.filter(on, lambda e: facts_of(e["key"]) < e["value"]), lambda e: e["key"]), lambda w: w.isNotNull())),
         ("relation_proposed: absent", c.asks("relation_proposed"), (c.texts("relation_proposed"), lambda w: link(w).isNull())),
-        ("relation_proposed: certain", c.asks("relation_proposed"), (c.texts("relation_proposed"), lambda w: link(w).isNotNull() & (F.coalesce(F.nullif(link(w)["confidence"], F.lit(0.0)), F.lit(1.0)) >= REVIEW))),
+        ("relation_proposed: certain", c.asks("relation_proposed"), (c.texts("relation_proposed"), lambda w: let(link(w), lambda r: r.isNotNull() & (F.coalesce(F.nullif(r["confidence"], F.lit(0.0)), F.lit(1.0)) >= REVIEW)))),
         ("proj", c.asks("proj"), F.size(a.projects) == 0),
         ("facts_min", c.asks("facts_min"), a.durable < c.number("facts_min")),
         ("entity_expected", c.asks("entity_expected"), (c.texts("entity_expected"), lambda w: ~F.array_contains(a.names, plain(w)))),
@@ -231,15 +268,15 @@ def rules(case: Case, answer: Answer, today: Column) -> list[tuple[str, Column,
         ("type_proposal: asserted", c.asks("type_proposal") & (F.size(typed) > 0), F.coalesce(proposed_type, F.lit("")) == ""),
         ("no_type_proposal", c.asks("no_type_proposal"), F.exists(a.entities, lambda e: F.coalesce(e["type_proposal"], F.lit("")) != "")),
         ("no_entity", c.asks("no_entity"), (c.texts("no_entity"), lambda w: F.array_contains(a.names, plain(w)))),
-        ("forbidden_value", c.asks("forbidden_value"), F.exists(a.facts, lambda f: F.contains(F.lower(snapped(value(f))), lower("forbidden_value")))),
-        ("renamed_to", c.asks("renamed_to"), ~F.exists(a.entities, lambda e: plain(e["renamed_to"]) == plain(c.text("renamed_to")))),
+        ("forbidden_value", c.asks("forbidden_value"), let(lower("forbidden_value"), lambda w: F.exists(a.facts, lambda f: F.contains(F.lower(snapped(value(f))), w)))),
+        ("renamed_to", c.asks("renamed_to"), ~let(plain(c.text("renamed_to")), lambda w: F.exists(a.entities, lambda e: plain(e["renamed_to"]) == w))),
         ("no_rename", c.asks("no_rename"), F.exists(a.entities, lambda e: plain(e["renamed_to"]) != "")),
         ("obsoletes", c.asks("obsoletes"), ~F.exists(a.obsoleted, lambda o: (plain(o["predicate"]) == named) & (F.coalesce(F.get(negated, 1), F.lit("")).isin("") | (plain(o["value"]) == of_value)))),
         ("no_obsolete", c.asks("no_obsolete"), F.size(a.obsoleted) > 0),
         ("cancels: unnamed", c.asks("cancels"), undone == ""),
         ("cancels: other", c.asks("cancels") & (undone != ""), ~(F.contains(undone, plain(c.text("cancels"))) | F.contains(plain(c.text("cancels")), undone))),
         ("no_cancel", c.asks("no_cancel"), undone != ""),
-        ("forbidden_predicate", c.asks("forbidden_predicate"), F.exists(a.facts, lambda f: F.contains(F.lower(F.coalesce(f["predicate"], F.lit(""))), lower("forbidden_predicate")))),
+        ("forbidden_predicate", c.asks("forbidden_predicate"), let(lower("forbidden_predicate"), lambda w: F.exists(a.facts, lambda f: F.contains(F.lower(F.coalesce(f["predicate"], F.lit(""))), w)))),
     ]
 
 
