@@ -2,56 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import predicate_signature
 from tessera.operators.components import components
+from tessera.operators.knn import linked_parts
+from tessera.scratch import kept
 
 #: Predicates that the memory can supersede; as names they go before all others.
 HEADS = ("works_at", "job_title", "lives_in", "has_birthday", "phone", "email", "age")
 
 
-def vocabulary(facts: DataFrame) -> DataFrame:
-    """predicate, n (facts), entities (that have one) of ``facts`` (entity_id, predicate)."""
-    return facts.filter("predicate is not null").groupBy("predicate").agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("entities"))
+def vocabulary(facts: DataFrame, *more: Column) -> DataFrame:
+    """predicate, n (facts), entities (that have one) of ``facts`` (entity_id, predicate), and what ``more`` aggregates."""
+    return facts.filter("predicate is not null").groupBy("predicate").agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("entities"), *more)
 
 
-def stars(rows: DataFrame, key: Column) -> DataFrame:
-    """a, b: every predicate with the smallest that has the same key. Not all pairs: a key of many predicates is as many links."""
-    keyed = rows.select("predicate", key.alias("key")).filter("key is not null")
-    least = keyed.groupBy("key").agg(F.min("predicate").alias("b"))
-    return keyed.join(least, "key").filter("predicate <> b").select(F.col("predicate").alias("a"), "b")
+def keys(rows: DataFrame) -> DataFrame:
+    """node, place, key of ``rows`` (node, predicate): what predicates that say the same share.
 
+    The signature (place -1), and of predicates of three tokens or more, for every token, the others: who shares these differs in one.
+    """
+    split = rows.select("node", predicate_signature(F.col("predicate")).alias("signature"), F.split("predicate", "_").alias("t"))
+    others = lambda k: F.concat_ws("_", F.slice("t", 1, k), F.lit("\x01"), F.slice("t", k + 2, F.size("t")))
+    apart = F.transform("t", lambda x, k: F.struct(k.alias("place"), others(k).alias("key")))
+    whole = F.array(F.struct(F.lit(-1).alias("place"), F.col("signature").alias("key")))
+    return split.select("node", F.inline(F.when(F.size("t") >= 3, F.concat(whole, apart)).otherwise(whole))).filter("key is not null")
 
-def same_signature(rows: DataFrame) -> DataFrame:
-    return stars(rows, predicate_signature(F.col("predicate")))
 
+def stars(keyed: DataFrame) -> DataFrame:
+    """a, b: every node with the smallest that has the same key. Not all pairs: a key of many predicates is as many links."""
+    least = F.min("node").over(Window.partitionBy("place", "key"))
+    return keyed.select(F.col("node").alias("a"), least.alias("b")).filter("a <> b")
 
-def one_token_apart(rows: DataFrame) -> DataFrame:
-    """Predicates of three tokens or more that differ in one: equal but for the token at one place."""
-    tokens = rows.select("predicate", F.split("predicate", "_").alias("t")).filter(F.size("t") >= 3)
-    at = tokens.select("predicate", F.posexplode("t").alias("k", "token"), "t")
-    rest = F.concat_ws("_", F.transform("t", lambda x, i: F.when(i == F.col("k"), F.lit("\x01")).otherwise(x)))
-    return stars(at, rest)
 
+def families(rows: DataFrame, near: DataFrame | None = None, vectors: DataFrame | None = None, floor: float = 1.0) -> DataFrame:
+    """predicate, family, canonical, members: predicates connected by signature, by one token, by ``near`` (a, b: two of ``rows``), or by cosine.
 
-def families(rows: DataFrame, near: DataFrame | None = None) -> DataFrame:
-    """predicate, family, canonical, members: predicates connected by signature, by one token, or by ``near`` (a, b: neighbours by cosine).
+    ``vectors``: predicate, embedding (unit vectors); two of them link their predicates from ``floor`` on.  They are the last to be
+    looked at, and only where the other links have left two predicates apart, as those of one family would link nothing new.
 
     The canonical name is a head if the family has one (the first by name), else the predicate of most entities, then of most
     facts, then the first by name.  Predicates without a variant are families of one.
     """
-    links = same_signature(rows).unionByName(one_token_apart(rows))
+    named = kept(rows.withColumn("node", F.monotonically_increasing_id()))  # links are whole numbers; names come back in the end
+    links = stars(keys(named))
     if near is not None:
-        links = links.unionByName(near.select("a", "b"))
-    found = rows.join(components(links).withColumnRenamed("node", "predicate"), "predicate", "left")
-    found = found.withColumn("family", F.coalesce("family", "predicate"))
+        node = lambda c: named.select(F.col("predicate").alias(c), F.col("node").alias(f"{c}_node"))
+        links = links.union(near.select("a", "b").join(node("a"), "a").join(node("b"), "b").select("a_node", "b_node"))
+    found = named.join(components(links), "node", "left").withColumn("family", F.coalesce("family", "node"))
+    if vectors is not None:
+        found = kept(found)
+        held = vectors.select("predicate", "embedding").join(found.select("predicate", F.col("node").alias("id"), F.col("family").alias("part")), "predicate")
+        met = components(linked_parts(held, floor)).select(F.col("node").alias("family"), F.col("family").alias("wider"))
+        found = found.join(met, "family", "left").withColumn("family", F.coalesce("wider", "family"))
+    found = kept(found.select("predicate", "n", "entities", "family"))
     rank = F.struct((~F.col("predicate").isin(*HEADS)).alias("other"), (-F.col("entities")).alias("e"), (-F.col("n")).alias("n"), "predicate")
     head = F.struct((~F.col("predicate").isin(*HEADS)).alias("other"), F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("n"), "predicate")
     best = F.min(F.when(F.col("predicate").isin(*HEADS), head).otherwise(rank))
-    chosen = found.groupBy("family").agg(best["predicate"].alias("canonical"), F.count("*").alias("members"))
-    return found.join(chosen, "family").select("predicate", "family", "canonical", "members")
+    chosen = kept(found.groupBy("family").agg(F.min("predicate").alias("name"), best["predicate"].alias("canonical"), F.count("*").alias("members")))
+    return found.join(chosen, "family").select("predicate", F.col("name").alias("family"), "canonical", "members")
 
 
 def renamed(facts: DataFrame, chosen: DataFrame) -> DataFrame:
